@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import common, decontaminate, neardup, packing, secrets
+from lodestone.llm import common, decontaminate, extract, lm_score, neardup, neighbours, packing, pii, quality, secrets, toxicity
+
 
-#: Where public_tokenizers keeps the vocabulary; a parameter of the operator.
 def tokenizer_path() -> str:
+    """Where public_tokenizers keeps the vocabulary; the operator takes it as a parameter."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -31,5 +32,30 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(common.table(spark, sf_dir, "documents"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(common.table(spark, sf_dir, "embeddings"))
+
+
+def op7_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.report(common.table(spark, sf_dir, "pages"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(common.table(spark, sf_dir, "documents"))
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_neardup, op4_packing)}
+    own = (op1_secrets, op2_decontaminate, op3_neardup, op4_packing, op5_pii, op6_neighbours, op7_extract, op8_quality, op9_lm_score, op10_toxicity)
+    return {f.__name__: f for f in own}

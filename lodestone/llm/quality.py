@@ -2,8 +2,8 @@
 
 Every heuristic votes clean, junk or nothing for every document. The votes of all documents
 are counted by pattern (at most 3^n of them), and expectation-maximisation over these
-counts estimates the share of clean documents and how each heuristic votes on either kind,
-without any labels. The posterior of its pattern is a document's weak label. A logistic
+counts estimates the share of clean documents and how each heuristic votes on them and on
+junk of several kinds, without any labels. The posterior of its pattern is a document's weak label. A logistic
 scorer on hashed shapes of words then learns the weak labels of a bounded sample, and
 scores all documents.
 
@@ -25,6 +25,8 @@ from lodestone.llm import common
 
 HEURISTICS = ("capitals", "symbols", "bars", "shouting", "repeated_lines", "repeated_runs", "length", "punctuation", "word_size")
 JUNK, NONE, CLEAN = 0, 1, 2
+#: Share of clean documents that a heuristic votes against at most.
+FALSE_ALARMS = 0.03
 #: Documents with the smallest hashes of id that the scorer is fitted on, and the characters that one may have.
 TRAINING_DOCUMENTS, TRAINING_CHARS = 6000, 12_000
 SPACE = 1 << 16
@@ -103,7 +105,7 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
         between(m["shouts"] / some, 0.05, 0.3, words >= 5),
         between(m["repeated_lines"] / np.maximum(m["line_bytes"], 1), 0.05, 0.3, m["lines"] >= 2),
         between(m["repeated_runs"] / np.maximum(m["runs"], 1), 0.1, 0.3, m["runs"] >= 10),
-        np.where(words < 3, JUNK, np.where(words >= 20, CLEAN, NONE)),
+        np.where(words < 1, JUNK, np.where(words >= 20, CLEAN, NONE)),
         np.where(words < 10, NONE, np.where((closed >= 0.02) & (closed <= 0.4), CLEAN, JUNK)),
         np.where(words < 3, NONE, np.where((size >= 3) & (size <= 10), CLEAN, np.where((size < 2) | (size > 16), JUNK, NONE))),
     ]
@@ -115,29 +117,41 @@ def pattern(v: np.ndarray) -> np.ndarray:
 
 
 class Labeller:
-    """The posterior of every pattern of votes."""
+    """The posterior of every pattern of votes.
 
-    def __init__(self, counts: dict[int, int], rounds: int = 200) -> None:
+    Junk is of several kinds that hardly overlap, so besides the clean documents there is a
+    kind of junk for each heuristic, at first those that it votes against. Within a kind
+    votes are independent; EM finds the kinds' shares and each heuristic's votes on each.
+    """
+
+    def __init__(self, counts: dict[int, int], rounds: int = 300) -> None:
         self.codes = np.array(sorted(counts), np.int64)
         n = np.array([counts[c] for c in self.codes.tolist()], np.float64)
         v = self.codes[:, None] // 3 ** np.arange(len(HEURISTICS)) % 3
         hot = np.eye(3)[v]  # [pattern, heuristic, vote]
-        # at first every vote counts the same
-        tilt = (v - 1).sum(axis=1) - 2.0 * (v == JUNK).sum(axis=1)
-        post = 1 / (1 + np.exp(-tilt.astype(float)))
+        kinds = len(HEURISTICS) + 1
+        hot[:, :, NONE] = 0  # a heuristic that says nothing is no evidence
+        prior = np.broadcast_to([0.2, 1e-9, 2.0], (kinds, len(HEURISTICS), 3)).copy()
+        prior[1 + np.arange(len(HEURISTICS)), np.arange(len(HEURISTICS))] = [4.0, 1e-9, 0.2]
+        post = np.concatenate([np.full((len(n), 1), 0.1), v == JUNK], axis=1)  # [pattern, kind]
+        post /= post.sum(axis=1, keepdims=True)
         for _ in range(rounds if len(n) else 0):
-            share = (post @ n + 1) / (n.sum() + 2)
-            # how heuristics vote on clean documents and on junk; a prior keeps each better than chance
-            one = np.einsum("p,phv->hv", post * n, hot) + [0.5, 1, 1.5]
-            two = np.einsum("p,phv->hv", (1 - post) * n, hot) + [1.5, 1, 0.5]
-            one, two = one / one.sum(axis=1, keepdims=True), two / two.sum(axis=1, keepdims=True)
-            ratio = np.einsum("phv,hv->p", hot, np.log(one) - np.log(two)) + np.log(share / (1 - share))
-            new = 1 / (1 + np.exp(-np.clip(ratio, -30, 30)))
+            weighed = post * n[:, None]
+            share = (weighed.sum(axis=0) + 1) / (n.sum() + kinds)
+            told = np.einsum("pk,phv->khv", weighed, hot) + prior
+            told /= told.sum(axis=2, keepdims=True)
+            told[0, :, JUNK] = np.minimum(told[0, :, JUNK], FALSE_ALARMS)
+            like = np.einsum("phv,khv->pk", hot, np.log(told)) + np.log(share)
+            new = np.exp(like - like.max(axis=1, keepdims=True))
+            new /= new.sum(axis=1, keepdims=True)
             if np.abs(new - post).max() < 1e-9:
                 break
             post = new
-        self.posterior = post
-        self.accuracy = {} if not len(n) else {h: (float(one[k, CLEAN] / (one[k, CLEAN] + one[k, JUNK])), float(two[k, JUNK] / (two[k, CLEAN] + two[k, JUNK]))) for k, h in enumerate(HEURISTICS)}
+        self.posterior = post[:, 0]
+        self.accuracy = {}
+        if len(n):
+            junk = np.einsum("k,khv->hv", share[1:] / share[1:].sum(), told[1:])
+            self.accuracy = {h: (float(told[0, k, CLEAN] / (told[0, k, CLEAN] + told[0, k, JUNK])), float(junk[k, JUNK] / (junk[k, CLEAN] + junk[k, JUNK]))) for k, h in enumerate(HEURISTICS)}
 
     def __call__(self, v: np.ndarray) -> np.ndarray:
         return self.posterior[np.searchsorted(self.codes, pattern(v))]

@@ -180,5 +180,7 @@ def score(docs: DataFrame, models: tuple[Vocabulary, Model, Model], id_col: str
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document, against the documents labelled as of good quality."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    target = common.settle(docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("good_id"), "left_semi").select("text"), "target")
+    # labels grow with the documents, so the join is planned alike at every size
+    target = docs.select("doc_id", "text").hint("merge").join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi")
+    target = common.settle(target.select("text"), "target")
     return score(docs, train(target, docs))

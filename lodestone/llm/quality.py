@@ -196,7 +196,8 @@ class Scorer:
 
 def fit(features: np.ndarray, owner: np.ndarray, weight: np.ndarray, labels: np.ndarray) -> Scorer:
     """Adam on the cross-entropy with probabilistic labels."""
-    used, column = np.unique(features, return_inverse=True)
+    used, column = np.unique(features.astype(np.int64), return_inverse=True)
+    owner = owner.astype(np.int64)
     w = np.zeros(len(used) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, ROUNDS + 1):
@@ -236,10 +237,14 @@ def train(docs: DataFrame) -> tuple[Labeller, Scorer]:
     counted = texts.select("text").mapInArrow(_patterns, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     labeller = Labeller({r.code: r.n for r in counted.collect()})
     sample = texts.where(F.length("text") <= TRAINING_CHARS).orderBy(F.xxhash64("doc_id"), "text").limit(TRAINING_DOCUMENTS).select("text").toArrow()
-    data, offsets = common.text_bytes(sample["text"].combine_chunks())
-    m = measures(data, offsets)
-    weak = labeller(votes(m)) if len(offsets) > 1 else np.empty(0)
-    return labeller, fit(*featurize(data, offsets, m), weak)
+    parts: list[list] = [[], [], [], []]
+    for at, part in common.slices(sample["text"].combine_chunks()):
+        data, offsets = common.text_bytes(part)
+        m = measures(data, offsets)
+        features, owner, weight = featurize(data, offsets, m)
+        for own, more in zip(parts, (features.astype(np.int32), (owner + at).astype(np.int32), weight.astype(np.float32), labeller(votes(m)))):
+            own.append(more)
+    return labeller, fit(*(np.concatenate(x) if x else np.empty(0) for x in parts))
 
 
 def score(docs: DataFrame, model: tuple[Labeller, Scorer], id_col: str = "doc_id") -> DataFrame:

@@ -27,6 +27,8 @@ TRAINING_DOCUMENTS, TRAINING_CHARS = 8000, 12_000
 SPACE = 1 << 18
 PREFIXES = (4, 5, 6)
 ROUNDS = 120
+#: How much likelier in documents with the label than in others a feature must be to get a weight.
+LIKELIER = 1.5
 #: What every weight costs, in log-likelihood a document.
 SHRINK = 2e-5
 #: The folds by crc32 of the id; this one is held out.
@@ -58,11 +60,19 @@ def featurize(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return features, np.concatenate(owners), owner[first], starts[first], ends[last]
 
 
+def once(features: np.ndarray, sentence: np.ndarray, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The useful features, one of a kind in a sentence: repeating a word says no more."""
+    keep = useful[features]
+    both = np.unique(sentence[keep] * np.int64(SPACE) + features[keep])
+    return both % SPACE, both // SPACE
+
+
 class Model:
     def __init__(self, weights: np.ndarray, bias: float, constant: float | None = None) -> None:
         self.weights, self.bias, self.constant = weights, bias, constant
 
     def sentences(self, features: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
+        features, sentence = once(features, sentence, self.weights > 0)
         z = np.bincount(sentence, self.weights[features], n) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -75,20 +85,31 @@ class Model:
         return -np.expm1(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
 
 
-def fit(data: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     """Adam on the noisy-or's log-likelihood, with the features of three documents or more.
 
     Weights are not negative: a sentence offends by what it holds, and ordinary words around that don't excuse it.
+    So a weight is only gained by a feature that is likelier in labelled documents than in all.
+    Texts are read twice, a chunk at a time: to count the features' documents, and to keep what may weigh.
     """
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(SPACE), 0.0, float(labels.mean()) if len(labels) else 0.0)
-    features, sentence, text, _, _ = featurize(data, offsets)
-    # a weight is only gained by a feature that is likelier in labelled documents than in all
-    held = np.unique(features * np.int64(len(labels)) + text[sentence])
-    holds = np.bincount(held // len(labels), minlength=SPACE)
-    useful = (holds >= 3) & (np.bincount(held // len(labels), labels[held % len(labels)], SPACE) > labels.mean() * holds)
-    keep = useful[features]
-    features, sentence = features[keep], sentence[keep]
+    holds, positive = np.zeros(SPACE), np.zeros(SPACE)
+    for at, part in common.slices(texts):
+        features, sentence, text, _, _ = featurize(*common.text_bytes(part))
+        held = np.unique(features * np.int64(len(part)) + text[sentence])
+        holds += np.bincount(held // len(part), minlength=SPACE)
+        positive += np.bincount(held // len(part), labels[at + held % len(part)], SPACE)
+    useful = (holds >= 3) & (positive / labels.sum() > LIKELIER * (holds - positive) / (len(labels) - labels.sum()))
+    kept: tuple[list, list, list] = ([], [], [])
+    n = 0
+    for at, part in common.slices(texts):
+        features, sentence, text, _, _ = featurize(*common.text_bytes(part))
+        features, sentence = once(features, sentence, useful)
+        for own, more in zip(kept, (features.astype(np.int32), (sentence + n).astype(np.int32), (text + at).astype(np.int32))):
+            own.append(more)
+        n += len(text)
+    features, sentence, text = (np.concatenate(x) for x in kept)
     used, column = np.unique(features, return_inverse=True)
     column = column.ravel()
     w, bias = np.zeros(len(used) + 1), np.log(0.01)
@@ -118,9 +139,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model
     """A model from at most TRAINING_DOCUMENTS labelled documents outside the held-out fold."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max(label_col).alias("_label"))
+    # a bounded number of ids is chosen first, so that no text is shuffled to find them
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_DOCUMENTS)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= TRAINING_CHARS)
-    chosen = texts.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(TRAINING_DOCUMENTS).select("text", "_label").toArrow()
-    return fit(*common.text_bytes(chosen["text"].combine_chunks()), chosen["_label"].to_numpy().astype(np.float64))
+    chosen = texts.join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(TRAINING_DOCUMENTS).select("text", "_label").toArrow()
+    return fit(chosen["text"].combine_chunks(), chosen["_label"].to_numpy().astype(np.float64))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

@@ -235,10 +235,8 @@ def labelled_samples(n: int = 500, seed: int = 5) -> list[list[tuple[str, str, b
                 document.append((plain[rng.integers(len(plain))], word(), False, 0))
             elif pick == 5 and has[0]:
                 document.append((f"{name}@mail{number(1)}.example.com", word(), False, 1))
-            elif pick == 6 and has[0]:
-                document.append((name, word(), False, 1))
             elif pick == 6:
-                document.append((name, word(), False, 0))
+                document.append((name, word(), False, -1))
             elif pick == 7 and has[1]:
                 document.append((".".join(str(rng.integers(1, 256)) for _ in range(4)) + (":" + number(4)) * int(rng.random() < 0.3), word(), False, 2))
             elif pick == 8 and has[2]:
@@ -253,8 +251,10 @@ def labelled_samples(n: int = 500, seed: int = 5) -> list[list[tuple[str, str, b
                     document.append((f"{phone[0]}-{phone[1]}-{phone[2]}", word(), False, 4))
             elif pick == 10 and has[3]:
                 document.append((phone[1] + phone[2], word(), False, 4 if any(p[3] == 4 for p in document) else 0))
+        # a bare name is personal where its address stands in the same document
+        address = any(p[3] == 1 for p in document)
         if document:
-            out.append(document)
+            out.append([(*p[:3], int(address) if p[3] < 0 else p[3]) for p in document])
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,12 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that only settled tables came from: Spark drops them when the driver has forgotten their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _sweep() -> None:
     for spark, path in _settled:
         try:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodestone.operators import gaps, rules
+from lodestone.plans import golden
 from lodestone.plans.estate import ITEMS, with_estate
 
 _BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
@@ -264,6 +265,15 @@ UNION ALL SELECT doc_id, CASE WHEN f.path IS NULL THEN 'evidence file does not e
 ) SELECT program, array_to_string(path, '>') AS chain FROM w WHERE len(path) > 1""",
 }
 
+ORACLES |= {
+    "golden_files": golden.values(golden.FILES, "path, kind, line_ending, lines"),
+    "golden_references": golden.values(golden.REFERENCES, "ref_id, type, from_id, to_id, resolution, path, line"),
+    "golden_programs": golden.values(golden.PROGRAMS, "id, kind, called_by, executed_by"),
+    "golden_issues": golden.values(golden.ISSUES, "severity, code, subject, path, line"),
+    "golden_scope": golden.values(golden.SCOPE, "node, depth"),
+    "golden_links": golden.values(golden.LINKS, 'ddname, dsn, "select"'),
+}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

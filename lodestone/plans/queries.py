@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import cobol_lines, picture
 from lodestone.operators import checks, closure, control_flow, edges, gaps, graph, layout_checks, lineage, numbering, resolve, rules
+from lodestone.plans import golden
 from lodestone.plans.estate import Estate
+from lodestone.plans.inventory import Inventory
 from lodestone.sources import members, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -578,5 +580,42 @@ def paragraph_chains(spark, sf_dir):
     return graph.chains(performs, 4)
 
 
+# the golden estate, read from its members
+
+
+def _golden(spark) -> Inventory:
+    return Inventory(golden.content(spark))
+
+
+@query
+def golden_files(spark, sf_dir):
+    return _golden(spark).files.select("path", "kind", "line_ending", "lines")
+
+
+@query
+def golden_references(spark, sf_dir):
+    return _golden(spark).references.select("ref_id", "type", "from_id", "to_id", "resolution", "path", "line")
+
+
+@query
+def golden_programs(spark, sf_dir):
+    return _golden(spark).classified.select("id", "kind", F.array_join("called_by", ",").alias("called_by"), F.array_join("executed_by", ",").alias("executed_by"))
+
+
+@query
+def golden_issues(spark, sf_dir):
+    return _golden(spark).issues
+
+
+@query
+def golden_scope(spark, sf_dir):
+    return _golden(spark).scope(["PAY1"])
+
+
+@query
+def golden_links(spark, sf_dir):
+    return _golden(spark).links.select("ddname", "dsn", "select")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -55,9 +55,23 @@ def glob_to_regex(glob: str) -> str:
     return f"(?s)^{out}$"
 
 
+def _empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Files of no length, which the reader of whole files leaves out; like its own index, the listing is the driver's."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found, out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0:
+            out.append(status.getPath().toString())
+    return out
+
+
 def scan(spark: SparkSession, root: str, exclude_dirs: Sequence[str] = EXCLUDED_DIRS, exclude_globs: Sequence[str] = ()) -> DataFrame:
     """(path, content) of every file under root, with paths relative to it."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    empty = _empty_files(spark, root)
+    if empty:
+        raw = raw.union(spark.createDataFrame([(p, bytearray()) for p in empty], "path string, content binary"))
     # the scheme is written file:/ or file:/// by turns
     base = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/")) + "/"
     whole = F.regexp_replace("path", "^[a-z]+:/*", "/")

@@ -66,14 +66,41 @@ FILES = [
 SCOPE = [("transaction:PAY1", 0), ("program:PAYONL", 1), ("map:PAYSET.PAYMAP", 2), ("mapset:PAYSET", 2), ("program:TAXCALC", 2), ("cics_file:PAYF", 2), ("map:PAYSET.NOMAP", 2), ("copybook:PAYREC", 3), ("table:TAX_T", 3), ("dataset:PROD.PAY.KSDS", 3)]
 LINKS = [("PAYIN", "PROD.PAY.IN(+1)", "PAY-FILE"), ("PAYOUT", "PROD.PAY.OUT", "OUT-FILE")]
 
+# one program with its copybook, for structure and layout
+STRUCTURE = {
+    "cbl/SALES.cbl": _fixed(
+        "IDENTIFICATION DIVISION.", "PROGRAM-ID. SALES.", "ENVIRONMENT DIVISION.", "INPUT-OUTPUT SECTION.", "FILE-CONTROL.", "    SELECT IN-F ASSIGN TO SALESIN.", "DATA DIVISION.", "FILE SECTION.", "FD IN-F.",
+        "COPY SALEREC REPLACING ==:T:== BY ==WS==.", "WORKING-STORAGE SECTION.", "01 EOF-SW PIC X VALUE 'N'.", "   88 AT-EOF VALUE 'Y'.", "01 TOT PIC S9(7)V99 COMP-3.", "01 WS-LIMIT PIC 9(5).", "01 ERR-MSG PIC X(20).",
+        "PROCEDURE DIVISION.", "MAIN-P.", "    OPEN INPUT IN-F", "    PERFORM READ-P UNTIL AT-EOF", "    PERFORM CALC-P THRU CALC-X", "    PERFORM STUCK-P UNTIL WS-LIMIT > 5", "    EVALUATE TRUE", "      WHEN TOT > 100", "        MOVE 'TOO BIG' TO ERR-MSG",
+        "      WHEN OTHER", "        CONTINUE", "    END-EVALUATE", "    GOBACK.", "READ-P.", "    READ IN-F", "      AT END SET AT-EOF TO TRUE", "      NOT AT END ADD WS-AMT TO TOT", "    END-READ.",
+        "CALC-P.", "    IF TOT > 0", "      COMPUTE TOT ROUNDED = TOT * 2", "    ELSE", "      CALL 'SUB' USING LOST-NAME", "    END-IF.", "CALC-X.", "    EXIT.", "STUCK-P.", "    MOVE 1 TO TOT.", "DEAD-P.", "    PERFORM DEAD-P.",
+    ),
+    "cpy/SALEREC.cpy": _fixed("01 :T:-REC.", "   05 :T:-ID PIC X(8).", "   05 :T:-AMT PIC S9(7)V99 COMP-3.", "   05 :T:-TBL OCCURS 3 TIMES.", "      10 :T:-A PIC 9(4) COMP.", "   05 :T:-R REDEFINES :T:-TBL PIC X(6)."),
+    "jcl/SALEJOB.jcl": "//SALEJOB JOB (A)\n//S1 EXEC PGM=SALES\n//SALESIN DD DSN=PROD.SALES,DISP=SHR,LRECL=20,RECFM=FB\n",
+}
+LAYOUT = [
+    ("record:SALEREC/WS-REC", "WS-REC", 0, 19, "group"), ("record:SALEREC/WS-REC", "WS-REC.WS-ID", 0, 8, "alphanumeric"), ("record:SALEREC/WS-REC", "WS-REC.WS-AMT", 8, 5, "numeric"), ("record:SALEREC/WS-REC", "WS-REC.WS-TBL", 13, 2, "group"),
+    ("record:SALEREC/WS-REC", "WS-REC.WS-TBL.WS-A", 13, 2, "numeric"), ("record:SALEREC/WS-REC", "WS-REC.WS-R", 13, 6, "alphanumeric"), ("record:SALES/EOF-SW", "EOF-SW", 0, 1, "alphanumeric"), ("record:SALES/TOT", "TOT", 0, 5, "numeric"),
+    ("record:SALES/WS-LIMIT", "WS-LIMIT", 0, 5, "numeric"), ("record:SALES/ERR-MSG", "ERR-MSG", 0, 20, "alphanumeric"),
+]
+PARAGRAPHS = [("MAIN-P", True, 4), ("READ-P", True, 3), ("CALC-P", True, 2), ("CALC-X", True, 1), ("STUCK-P", True, 1), ("DEAD-P", False, 1)]
+PARSE_ISSUES = [("info", "dead_paragraph", 45), ("warning", "recursive_perform", 45), ("warning", "undefined_data_name", 39)]
+BRANCHES = [
+    ("PHRASE", "AT END (READ IN-F)", "READ-P", "control_flow", 1), ("PHRASE", "NOT AT END (READ IN-F)", "READ-P", "error_handling", 1), ("WHEN", "TOT > 100", "MAIN-P", "limit", 4), ("WHEN", "OTHER", "MAIN-P", "decision", 1),
+    ("IF", "TOT > 0", "CALC-P", "limit", 3),
+]
+LOOPS = [(20, "until", "AT-EOF", "condition_updated_in_loop"), (22, "until", "WS-LIMIT > 5", "potential_infinite")]
+FLOWS = [("program:SALES", "dataset:PROD.SALES", "read")]
+RULES = [("rule:SALES:24", "limit", True), ("rule:SALES:26", "decision", False), ("rule:SALES:31", "control_flow", False), ("rule:SALES:31.2", "error_handling", False), ("rule:SALES:33", "calculation", True), ("rule:SALES:36", "limit", True), ("rule:SALES:37", "calculation", True)]
+
 
-def content(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, bytearray(t.encode())) for p, t in MEMBERS.items()], "path string, content binary")
+def content(spark: SparkSession, given: dict[str, str] | None = None) -> DataFrame:
+    return spark.createDataFrame([(p, bytearray(t.encode())) for p, t in (given or MEMBERS).items()], "path string, content binary")
 
 
 def values(rows: list[tuple], columns: str) -> str:
     """A SELECT of the rows, for the oracle."""
     def lit(v: object) -> str:
-        return "NULL" if v is None else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
 
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({columns})"

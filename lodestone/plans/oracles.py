@@ -271,6 +271,14 @@ ORACLES |= {
     "golden_programs": golden.values(golden.PROGRAMS, "id, kind, called_by, executed_by"),
     "golden_issues": golden.values(golden.ISSUES, "severity, code, subject, path, line"),
     "golden_scope": golden.values(golden.SCOPE, "node, depth"),
+    "golden_layout": golden.values(golden.LAYOUT, 'record, qualified_name, "offset", size, category'),
+    "golden_paragraphs": golden.values(golden.PARAGRAPHS, "name, reachable, complexity"),
+    "golden_parse_issues": golden.values(golden.PARSE_ISSUES, "severity, code, line"),
+    "golden_branches": golden.values(golden.BRANCHES, "kind, condition, paragraph, category, significance"),
+    "golden_rules": golden.values(golden.RULES, "rule_id, category, business"),
+    "golden_loops": golden.values(golden.LOOPS, "line, type, condition, termination"),
+    "golden_flows": golden.values(golden.FLOWS, "program, entity, direction"),
+    "golden_record_lengths": golden.values([("program:SALES", "SALESIN", 19, 20)], "program, ddname, size, lrecl"),
     "golden_links": golden.values(golden.LINKS, 'ddname, dsn, "select"'),
 }
 

@@ -12,6 +12,8 @@ from lodestone.operators import checks, closure, control_flow, edges, gaps, grap
 from lodestone.plans import golden
 from lodestone.plans.estate import Estate
 from lodestone.plans.inventory import Inventory
+from lodestone.plans.logic import Logic
+from lodestone.plans.programs import Programs
 from lodestone.sources import members, settled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -617,5 +619,51 @@ def golden_links(spark, sf_dir):
     return _golden(spark).links.select("ddname", "dsn", "select")
 
 
+def _structure(spark) -> Logic:
+    return Logic(Programs(Inventory(golden.content(spark, golden.STRUCTURE))))
+
+
+@query
+def golden_layout(spark, sf_dir):
+    return _structure(spark).programs.fields.select("record", "qualified_name", "offset", "size", "category")
+
+
+@query
+def golden_paragraphs(spark, sf_dir):
+    p = _structure(spark).programs
+    told = p.paragraphs.select("program", "ord", "name").join(p.reachable, ["program", "ord"]).join(p.complexity.withColumnRenamed("paragraph", "ord"), ["program", "ord"])
+    return told.select("name", "reachable", F.col("complexity").cast("int").alias("complexity"))
+
+
+@query
+def golden_parse_issues(spark, sf_dir):
+    return _structure(spark).programs.issues.select("severity", "code", "line")
+
+
+@query
+def golden_branches(spark, sf_dir):
+    return rules.classify(_structure(spark).branches).select("kind", "condition", "paragraph", "category", "significance")
+
+
+@query
+def golden_rules(spark, sf_dir):
+    return _structure(spark).rules.select("rule_id", "category", "business")
+
+
+@query
+def golden_loops(spark, sf_dir):
+    return _structure(spark).loops.select("line", "type", "condition", "termination")
+
+
+@query
+def golden_flows(spark, sf_dir):
+    return _structure(spark).flows.select("program", "entity", "direction")
+
+
+@query
+def golden_record_lengths(spark, sf_dir):
+    return _structure(spark).length_mismatches.select("program", "ddname", "size", "lrecl")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -1,4 +1,4 @@
-"""What the operators share: settled tables, bounded chunks of text and word hashes.
+"""What the operators share: bounded chunks of text and word hashes, and tables settled in the shared folder.
 
 Words are found on the UTF-8 bytes of a whole Arrow chunk at once. Every byte of a
 character outside ASCII is a word byte, so words never split inside a character.
@@ -6,9 +6,6 @@ character outside ASCII is a word byte, so words never split inside a character.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,52 +13,20 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.sources.settled import release, settle
+
+__all__ = ["release", "settle"]
+
 #: Bytes of text that one step of a Python worker looks at (a single longer text is one step of its own).
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
-_settled: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
-
-    The files go when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    if not _settled:
-        atexit.register(_sweep)
-    _settled.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _sweep() -> None:
-    for spark, path in _settled:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended already: the cluster's own clean-up has the folder
-            return
-
-
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts have about limit bytes together."""
     for batch in batches:
@@ -83,6 +48,14 @@ def _offsets(array: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))])
 
 
+def slices(array: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of an array of texts, each of about limit bytes, and where they begin."""
+    at = 0
+    for batch in chunks(iter([pa.RecordBatch.from_arrays([array], names=["text"])]), limit=limit):
+        yield at, batch.column("text")
+        at += batch.num_rows
+
+
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, and where each begins (one more entry than texts). Null is as empty."""
     array = array.cast(pa.large_string())

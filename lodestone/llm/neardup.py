@@ -10,10 +10,11 @@ Classes meet where a band of ROWS places is equal. A bucket is not paired off. I
 smallest class leads: every other is compared with it on full sets. The Jaccard distance
 d is a metric, so for a link bound of 0.15 members linked to the leader are settled with
 each other through it, and a member f at distance d(f) over 0.30 cannot be linked to any
-of them. What is left - those not linked, and, for members between 0.15 and 0.30, the
-linked ones with d >= d(f) - 0.15 - meets again without the leader, until a bucket holds
-one component only. So no pair that shares a bucket is ever left undecided, and a large
-group of copies costs one comparison a member.
+of them. What is left in a bucket - those not linked, and, for members between 0.15 and
+0.30, the linked ones with d >= d(f) - 0.15 - is put in blocks by component: members of the
+largest component need comparing with the others only. Two blocks at a time are compared
+on full sets. So no pair that shares a bucket is left undecided, a large group of copies
+costs one comparison a member, and no task holds more than two blocks.
 
 Two sets at a similarity of 0.85 share no band with probability (1 - 0.85^5)^32 < 1e-8.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import common
@@ -41,8 +42,10 @@ QUERY_PERCENT, PIPELINE_PERCENT = 85, 80
 BANDS = 32
 #: Places of a band; fewer for a lower similarity, so that a pair is missed as rarely.
 ROWS = {85: 5, 80: 4}
-#: Elements whose permutations are held at a time: 32 MB.
-ELEMENTS = 200_000
+#: Members of a block and shingles that they have together, about, and columns of the table that two blocks are compared on at a time.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 128, 100_000, 4096
+#: Elements whose permutations are held at a time: 16 MB.
+ELEMENTS = 100_000
 
 
 def shingles(hashes: np.ndarray, owner: np.ndarray, rows: int, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,37 +107,49 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-_SETS = "id bigint, n_shingles bigint, mark string, bands array<bigint>, shingles array<bigint>"
+_MARKS = "id bigint, n_shingles bigint, one bigint, two bigint, bands array<bigint>"
+_SETS = "id bigint, n_shingles bigint, shingles array<bigint>"
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int, rows: int) -> Iterator[pa.RecordBatch]:
+def _sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of all texts, sorted within each, and where each text's begin."""
+    data, offsets = common.text_bytes(batch.column("text"))
+    starts, ends, owner = common.find_words(data, offsets, common.SPACED)
+    hashes, cuts = shingles(common.word_hashes(data, starts, ends), owner, batch.num_rows, words)
+    sets = [np.unique(hashes[cuts[k] : cuts[k + 1]]) for k in range(batch.num_rows)]
+    return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+
+
+def _marks(batches: Iterator[pa.RecordBatch], words: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Of each text: its set's size, 128 bits that equal sets share, and its bands."""
     for batch in common.chunks(batches):
-        data, offsets = common.text_bytes(batch.column("text"))
-        starts, ends, owner = common.find_words(data, offsets, common.SPACED)
-        hashes, cuts = shingles(common.word_hashes(data, starts, ends), owner, batch.num_rows, words)
-        sets = [np.unique(hashes[cuts[k] : cuts[k + 1]]) for k in range(batch.num_rows)]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        cuts = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        flat, cuts = _sets(batch, words)
+        sizes = np.diff(cuts)
+        sums = []
         with np.errstate(over="ignore"):
-            sums = np.concatenate([[0], np.cumsum(common.mix(flat + np.uint64(7)), dtype=np.uint64)]).astype(np.uint64)
-            more = np.concatenate([[0], np.cumsum(common.mix(flat ^ np.uint64(0xABCDEF)), dtype=np.uint64)]).astype(np.uint64)
-            one, two = sums[cuts[1:]] - sums[cuts[:-1]], more[cuts[1:]] - more[cuts[:-1]]
+            for salt in (7, 0xABCDEF):
+                total = np.concatenate([[0], np.cumsum(common.mix(flat ^ np.uint64(salt)), dtype=np.uint64)]).astype(np.uint64)
+                sums.append((total[cuts[1:]] - total[cuts[:-1]]).view(np.int64))
         keys = np.empty((batch.num_rows, BANDS), np.int64)
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + ELEMENTS, side="right")) - 1)
             keys[at:to] = band_keys(super_minhash(flat[cuts[at] : cuts[to]], cuts[at : to + 1] - cuts[at], BANDS * rows), rows)
             at = to
-        held = np.where(sizes > 0, BANDS, 0)
-        bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32)), pa.array(keys[sizes > 0].ravel()))
-        sets_out = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.view(np.int64)))
-        marks = [f"{n:x}-{a:x}-{b:x}" if n else None for n, a, b in zip(sizes.tolist(), one.tolist(), two.tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(marks, pa.string()), bands, sets_out], names=["id", "n_shingles", "mark", "bands", "shingles"])
+        held = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
+        bands = pa.ListArray.from_arrays(pa.array(held), pa.array(keys[sizes > 0].ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), *map(pa.array, sums), bands], names=["id", "n_shingles", "one", "two", "bands"])
+
+
+def _members(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in common.chunks(batches):
+        flat, cuts = _sets(batch, words)
+        lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(cuts)), lists], names=["id", "n_shingles", "shingles"])
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) -> a, b, ok, far, d: whether they are linked, too far to share links, and their distance (a lower bound if sizes alone tell)."""
+    """(a, b) -> a, b, ok, far, d, weight of a: whether they are linked, too far to share links, and their distance (a lower bound if sizes alone tell)."""
     one, two = (sets.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     both = pairs.join(one, "a").join(two, "b")
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
@@ -145,55 +160,115 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         both.withColumn("shared", shared)
         .withColumn("ok", F.coalesce(F.col("shared") * 100 >= union * percent, F.lit(False)))
         .withColumn("d", 1 - like)
-        .select("a", "b", "ok", "d", (F.col("d") > 2 * (1 - percent / 100) + 1e-9).alias("far"))
+        .select("a", "b", "ok", "d", F.col("n_a").alias("weight"), (F.col("d") > 2 * (1 - percent / 100) + 1e-9).alias("far"))
     )
 
 
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links among at most two blocks of members: one each for what would still join two components."""
+    ids, roots, main = (table[c].to_numpy() for c in ("id", "root", "main"))
+    lists = table["shingles"].combine_chunks()
+    cuts = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.values.to_numpy()[cuts[0] : cuts[-1]]
+    cuts = cuts - cuts[0]
+    sizes = np.diff(cuts)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    distinct, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    # a shingle that one member has adds to no intersection
+    number = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column.ravel()]
+    owner, number = owner[number >= 0], number[number >= 0]
+    shared = np.zeros((len(ids), len(ids)), np.float32)
+    for low in range(0, int((times > 1).sum()), COLUMNS):
+        at = (number >= low) & (number < low + COLUMNS)
+        held = np.zeros((len(ids), COLUMNS), np.float32)
+        held[owner[at], number[at] - low] = 1
+        shared += held @ held.T
+    shared = shared.astype(np.int64)
+    union = sizes[:, None] + sizes[None, :] - shared
+    one, two = np.nonzero(np.triu(shared * 100 >= union * percent, 1) & (roots[:, None] != roots[None, :]) & ~(main[:, None] & main[None, :]))
+    parent = {r: r for r in roots.tolist()}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(one.tolist(), two.tolist()):
+        x, y = root(int(roots[i])), root(int(roots[j]))
+        if x != y:
+            parent[x] = y
+            out.append((int(ids[i]), int(ids[j])))
+    return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
+
+
 def _links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All decided links, as edges (u, v), among the classes that meet in buckets (key, id)."""
+    """Links, as edges (u, v), that give the components of the classes that meet in buckets (key, id)."""
     reach = 1 - percent / 100
-    edges = None
-    alive = entries
-    while True:
-        lead = alive.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b < most").drop("most")
-        met = common.settle(alive.join(lead, "key").where("id <> b").select("key", F.col("id").alias("a"), "b"), "met")
-        told = common.settle(_compare(met.select("a", "b").distinct(), sets, percent), "told")
-        new = told.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        edges = new if edges is None else edges.union(new)
-        rows = met.join(told, ["a", "b"])
-        left = rows.groupBy("key").agg(
-            F.count_if(~F.col("ok")).alias("n_open"),
-            F.min(F.when(~F.col("ok") & ~F.col("far"), F.col("d"))).alias("border"),
-            F.count("*").alias("n"),
-        )
-        left = left.where("n > 1 and (n_open > 1 or (border is not null and n > n_open))").select("key", "border")
-        rest = rows.join(left, "key").where(~F.col("ok") | (F.col("d") >= F.col("border") - reach - 1e-9)).select("key", F.col("a").alias("id"))
-        rest = common.settle(rest, "rest")
-        if rest.isEmpty():
-            return edges
-        roots = components(edges)
-        rest = rest.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        split = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        alive = common.settle(rest.join(split, "key").select("key", "id"), "alive")
+    lead = entries.groupBy("key").agg(F.min("id").alias("b"))
+    met = common.settle(entries.join(lead, "key").where("id <> b").select("key", F.col("id").alias("a"), "b"), "met")
+    told = common.settle(_compare(met.select("a", "b").distinct(), sets, percent), "told")
+    common.release(sets.sparkSession)
+    edges = told.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    rows = met.join(told, ["a", "b"])
+    left = rows.groupBy("key").agg(F.count_if(~F.col("ok")).alias("n_open"), F.min(F.when(~F.col("ok") & ~F.col("far"), F.col("d"))).alias("border"), F.count("*").alias("n"))
+    left = left.where("n > 1 and (n_open > 1 or (border is not null and n > n_open))").select("key", "border")
+    rest = rows.join(left, "key").where(~F.col("ok") | (F.col("d") >= F.col("border") - reach - 1e-9)).select("key", F.col("a").alias("id"), "weight")
+    rest = common.settle(rest, "rest")
+    if rest.isEmpty():
+        return edges
+    roots = components(edges)
+    rest = rest.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = common.settle(rest.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark")), "sizes")
+    # of buckets with the same members one is enough, and one component needs no more links
+    split = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root", "weight")).alias("main"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.sum("mark").alias("mark")).where("roots > 1")
+    once = split.groupBy("mark", "n").agg(F.min(F.struct("key", "main", "weight")).alias("x"))
+
+    def blocks(n: Column, weight: Column) -> Column:
+        return F.ceil(F.greatest(n / BLOCK, weight / BLOCK_SHINGLES)).cast("int")
+
+    main = F.col("x.main")
+    once = once.select("x.key", main["root"].alias("main_root"), blocks(main["n"], main["weight"]).alias("main_blocks"), blocks(F.col("n") - main["n"], F.col("x.weight") - main["weight"]).alias("open_blocks"))
+    once = common.settle(once, "buckets")
+    members = rest.join(once, "key").withColumn("main", F.col("root") == F.col("main_root"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("main_blocks")).otherwise(F.col("open_blocks"))).cast("int")
+    # blocks of open members meet each other, and each of the largest component's; the first of either kind meet in one
+    open_to = F.transform(F.sequence(F.lit(0), F.col("open_blocks") - 1), lambda j: F.concat_ws("-", F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
+    open_to = F.concat(open_to, F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1), lambda j: F.concat_ws("-", F.col("own"), F.concat(F.lit("m"), j))))
+    main_to = F.transform(F.sequence(F.lit(0), F.col("open_blocks") - 1), lambda j: F.concat_ws("-", j, F.concat(F.lit("m"), F.col("own"))))
+    alone = (F.col("main_blocks") == 1) & (F.col("open_blocks") == 1)
+    meets = F.when(alone, F.array(F.lit(""))).when(F.col("main"), main_to).otherwise(open_to)
+    members = members.withColumn("own", own).select("key", "id", "root", "main", F.explode(meets).alias("place"))
+    members = members.join(sets.select("id", "shingles"), "id")
+    found = members.groupBy("key", "place").applyInArrow(lambda t: _block_links(t, percent), "u bigint, v bigint")
+    return edges.union(common.settle(found, "links"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", words: int = QUERY_WORDS, percent: int = QUERY_PERCENT) -> DataFrame:
     """id_col, n_shingles, component_id, kept for each row of docs."""
     rows = ROWS[percent]
+    spark = docs.sparkSession
     made = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = common.settle(made.mapInArrow(lambda it: _sets(it, words, rows), _SETS), "sets")
-    classes = common.settle(sets.where("id is not null and mark is not null").groupBy("mark").agg(F.min("id").alias("rep")), "classes")
-    slim = sets.select("id", "n_shingles", "mark")
-    entries = sets.where("id is not null").join(classes.select(F.col("rep").alias("id"), "mark"), ["id", "mark"], "left_semi")
-    entries = common.settle(entries.select("id", "n_shingles", F.explode("bands").alias("key")), "entries").select("key", "id")
+    marks = common.settle(made.mapInArrow(lambda it: _marks(it, words, rows), _MARKS), "marks")
+    some = marks.where("id is not null and n_shingles > 0")
+    same = ["one", "two", "n_shingles"]
+    classes = common.settle(some.groupBy(*same).agg(F.min("id").alias("rep")), "classes")
+    first = some.join(classes.withColumnRenamed("rep", "id"), [*same, "id"], "left_semi")
+    entries = common.settle(first.select("id", F.explode("bands").alias("key")), "entries")
     shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     entries = common.settle(entries.join(shared, "key", "left_semi"), "entries")
-    met = common.settle(sets.select("id", "n_shingles", "shingles").join(entries.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "sets")
+    common.release(spark)
+    # whole sets only of those that meet another; planned alike at every size
+    meeting = common.settle(entries.select(F.col("id").alias("meeting")).distinct(), "meeting")
+    texts = made.hint("merge").join(meeting.hint("merge"), F.col("id") == F.col("meeting"), "left_semi").dropDuplicates(["id"])
+    met = common.settle(texts.mapInArrow(lambda it: _members(it, words), _SETS), "sets")
+    common.release(spark)
     links = _links(entries, met, percent)
     # a repeated id with unlike texts joins its classes
-    again = sets.where("id is not null").join(classes, "mark").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
+    again = some.join(classes, same).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
     roots = components(links.union(again))
-    out = slim.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
+    common.release(spark)
+    out = marks.select("id", "n_shingles").join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
     component = F.coalesce("root", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 

@@ -28,6 +28,8 @@ from lodestone.llm.tokenize import Encoder
 
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH, END = 4096, 1
+#: Bytes of text that are encoded together; a longer run shares more of its words.
+CHUNK_BYTES = 1_000_000
 _PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 
 
@@ -36,7 +38,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -
     part = TaskContext.get().partitionId()
     tail = np.array([end], "<u4").tobytes()
     seen = np.zeros(size + 1, np.int64)
-    for batch in common.chunks(batches):
+    for batch in common.chunks(batches, limit=CHUNK_BYTES):
         ids, cuts = encode(*common.text_bytes(batch.column("text")))
         raw = memoryview(ids.tobytes())
         out: list[tuple] = []

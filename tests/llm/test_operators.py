@@ -233,6 +233,7 @@ def test_near_duplicate_groups(docs, words, percent):
 def test_near_duplicates_with_chains_and_blocks(spark, monkeypatch):
     """Families of drifting copies: links between members that no leader joins, over many small blocks."""
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 700)
     rng = random.Random(3)
     rows = []
     for f in range(4):

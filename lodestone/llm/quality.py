@@ -236,7 +236,10 @@ def train(docs: DataFrame) -> tuple[Labeller, Scorer]:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     counted = texts.select("text").mapInArrow(_patterns, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     labeller = Labeller({r.code: r.n for r in counted.collect()})
-    sample = texts.where(F.length("text") <= TRAINING_CHARS).orderBy(F.xxhash64("doc_id"), "text").limit(TRAINING_DOCUMENTS).select("text").toArrow()
+    # ids are chosen first, so that no text is sorted to find the sample
+    short = texts.where(F.length("text") <= TRAINING_CHARS)
+    chosen = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_DOCUMENTS).distinct()
+    sample = short.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(TRAINING_DOCUMENTS).select("text").toArrow()
     parts: list[list] = [[], [], [], []]
     for at, part in common.slices(sample["text"].combine_chunks()):
         data, offsets = common.text_bytes(part)

@@ -240,7 +240,7 @@ class Inventory:
         steps = runs.join(found, "name").select("job", "step", "step_name", "program")
         dds = self.table("dd").select(F.col("owner").alias("job"), F.col("step_order").alias("step"), F.col("dd_order").alias("ord"), F.col("name").alias("ddname"), "dsn", "disp", "line", "path", "recfm", "lrecl")
         selects = self.table("select").select(F.col("owner").alias("program"), "select", "ddname")
-        return lineage.link_datasets(steps, dds, selects)
+        return settle(lineage.link_datasets(steps, dds, selects), "links")
 
     @cached_property
     def missing_dds(self) -> DataFrame:
@@ -267,7 +267,7 @@ class Inventory:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return edges.aggregate_edges(self.references)
+        return settle(edges.aggregate_edges(self.references), "edges")
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -280,11 +280,11 @@ class Inventory:
         defined = parts[0]
         for p in parts[1:]:
             defined = defined.union(p)
-        return edges.nodes(defined, self.references)
+        return settle(edges.nodes(defined, self.references), "nodes")
 
     @cached_property
     def classified(self) -> DataFrame:
-        return edges.classify_programs(self.programs, self.references, self.csd.where("type = 'PROGRAM'"))
+        return settle(edges.classify_programs(self.programs, self.references, self.csd.where("type = 'PROGRAM'")), "classified")
 
     @cached_property
     def issues(self) -> DataFrame:
@@ -324,7 +324,7 @@ class Inventory:
         out = found[0]
         for f in found[1:]:
             out = out.union(f)
-        return out
+        return settle(out, "issues")
 
     @cached_property
     def misplaced_copybooks(self) -> DataFrame:

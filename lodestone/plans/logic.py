@@ -67,13 +67,13 @@ class Logic:
         ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "action"))), lambda x: x["action"])
         out = told.groupBy("of", "parent", "slot", "slot_number").agg(ordered.alias("all"))
         shown = F.when(F.size("all") >= ACTIONS, F.concat(F.slice("all", 1, ACTIONS), F.array(F.lit("...")))).otherwise(F.col("all"))
-        return out.withColumn("actions", shown).drop("all")
+        return settle(out.withColumn("actions", shown).drop("all"), "actions")
 
     @cached_property
     def conditions(self) -> DataFrame:
         """(of, name, field_name): 88-level names of each program, the first of a name."""
         c = self.programs.table("condition").select("of", "name", "field_name", "row")
-        return c.groupBy("of", "name").agg(F.min_by("field_name", "row").alias("field_name"))
+        return settle(c.groupBy("of", "name").agg(F.min_by("field_name", "row").alias("field_name")), "conditions")
 
     @cached_property
     def branches(self) -> DataFrame:
@@ -121,7 +121,7 @@ class Logic:
         signals = F.array_compact(F.array(F.lit("arithmetic on fields that are no counters"), F.when(F.col("rounded"), "rounded"), F.when(F.col("size_error"), "size error")))
         c = c.select("of", F.col("program_name").alias("program"), "at", F.col("named").alias("paragraph"), "file", "line", F.lit("CALCULATION").alias("kind"), F.lit("calculation").alias("category"), "significance", F.lit(True).alias("business"), signals.alias("signals"), F.col("text").alias("condition"), F.lit(1).alias("rank"), F.col("id").alias("ord"), F.array("text").alias("actions"))
         both = b.union(c).join(reach, ["of", "at"], "left").withColumn("reachable", F.coalesce("reachable", F.lit(True)))
-        return occurrence_suffix(both, ["of", "line"], ["rank", "ord"], F.concat_ws(":", F.lit("rule"), "program", "line"), "rule_id").drop("rank", "ord")
+        return settle(occurrence_suffix(both, ["of", "line"], ["rank", "ord"], F.concat_ws(":", F.lit("rule"), "program", "line"), "rule_id").drop("rank", "ord"), "rules")
 
     @cached_property
     def related(self) -> DataFrame:
@@ -160,7 +160,7 @@ class Logic:
         fields = tested.groupBy("of", "id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
         verdict = F.when(F.col("type").isin("times", "varying"), "counted").when(F.coalesce("condition", F.lit("")) == "", "unknown").when(F.col("updated").isNotNull(), "condition_updated_in_loop").otherwise("potential_infinite")
         out = st.select("of", "id", "paragraph", "file", "line", F.col("loop").alias("type"), "inline", "condition", "target").join(updated, ["of", "id"], "left").join(fields, ["of", "id"], "left")
-        return out.withColumn("termination", verdict).drop("updated")
+        return settle(out.withColumn("termination", verdict).drop("updated"), "loops")
 
     @cached_property
     def io(self) -> DataFrame:
@@ -194,11 +194,11 @@ class Logic:
         name = F.regexp_replace(F.coalesce(F.element_at("options", "FILE"), F.element_at("options", "DATASET"), F.lit("")), "^['\"]|['\"]$", "")
         online = st.where((F.col("language") == "CICS") & F.col("command").isin(*CICS_READS, *CICS_WRITES)).withColumn("name", name).where("name <> ''")
         online = online.select("of", F.concat(F.lit("cics_file:"), "name"), F.when(F.col("command").isin(*CICS_READS), "read").otherwise("write"), F.lit("EXEC CICS"), "file", "line")
-        return data.union(loose).union(sql).union(online)
+        return settle(data.union(loose).union(sql).union(online), "flows")
 
     @cached_property
     def length_mismatches(self) -> DataFrame:
         """Files whose largest record does not fit the DD's record length."""
         sizes = self.programs.table("record").where("fd is not null and size is not null").groupBy(F.col("of").alias("program"), F.col("fd").alias("select")).agg(F.max("size").alias("size"))
         bound = self.inventory.links.where("lrecl is not null").join(sizes, ["program", "select"]).where("size > 0")
-        return bound.where(layout_checks.lrecl_mismatch(F.col("size"), F.col("lrecl"), F.upper(F.coalesce("recfm", F.lit(""))))).select("program", "select", "ddname", "job", "step", "size", "lrecl", "recfm")
+        return settle(bound.where(layout_checks.lrecl_mismatch(F.col("size"), F.col("lrecl"), F.upper(F.coalesce("recfm", F.lit(""))))).select("program", "select", "ddname", "job", "step", "size", "lrecl", "recfm"), "length_mismatches")

@@ -42,6 +42,10 @@ SCHEMAS = {
     "transfer": "paragraph int, statement int, type string, target string, thru string, line int, file string, loop string, conditional boolean, source string",
     "defined": "name string",
     "function": "name string, line int, file string",
+    "pseudocode": "paragraph int, depth int, text string, file string, line int",
+    "outline": "id int, parent int, kind string, target string, when array<string>, loop string, thru string, state string, line int, file string",
+    "sql_pair": "statement int, `table` string, `column` string, host string, operation string, file string, line int",
+    "sql_count": "statement int, `table` string, operation string, `columns` int, hosts int, structure string, file string, line int",
 }
 
 
@@ -51,6 +55,7 @@ def parse(path: str, text: str, copybooks: list[dict]) -> list[tuple[str, dict]]
     from lodestone.sources.readers.expand import Expander, member_tokens
     from lodestone.sources.readers.lexer import WORD
     from lodestone.sources.readers.procedure import Procedure
+    from lodestone.sources.readers.renderings import Outline, Pseudocode, SqlShapes, Tree
     from lodestone.sources.readers.vocabulary import INTRINSICS, REGISTERS
 
     texts = {c["member"]: c for c in sorted(copybooks or [], key=lambda c: c["path"], reverse=True)}
@@ -75,6 +80,15 @@ def parse(path: str, text: str, copybooks: list[dict]) -> list[tuple[str, dict]]
         data = DataDivision(tokens[at["DATA"] + 2 : data_end] if "DATA" in at else [])
         records = Records(data.entries)
         procedure = Procedure(tokens[procedure_at:]) if procedure_at is not None else None
+        meanings: dict[str, tuple[str, list[str]]] = {}
+        for item in records.records:
+            for f in Records.fields(item):
+                for c in f["conditions"]:
+                    meanings.setdefault(c["name"], (f["name"] or f["qualified_name"].rpartition(".")[2], c["values"]))
+        rendered = []
+        if procedure:
+            tree, shapes = Tree(procedure), SqlShapes(procedure)
+            rendered = [("pseudocode", Pseudocode(tree, meanings).rows), ("outline", Outline(tree).rows), ("sql_pair", shapes.pairs), ("sql_count", shapes.counts)]
     except Exception as e:  # the program's defect, told in its row
         return [("program", {"status": "failed", "reason": f"{type(e).__name__}: {e}"})]
     add("program", status="parsed", source_lines=len(text.splitlines()), tokens=len(tokens), using=procedure.using if procedure else [], returning=procedure.returning if procedure else None, procedure_line=tokens[procedure_at].line if procedure else None)
@@ -118,6 +132,9 @@ def parse(path: str, text: str, copybooks: list[dict]) -> list[tuple[str, dict]]
             add("transfer", **row)
         for p in procedure.problems:
             add("problem", code=p["code"], line=p["line"], file=p["file"], message=p["text"])
+        for kind, rows in rendered:
+            for row in rows:
+                add(kind, **row)
         for k in range(procedure_at + 1, len(tokens) - 1):
             if tokens[k].word("FUNCTION") and tokens[k + 1].kind == WORD and tokens[k + 1].value not in INTRINSICS:
                 add("function", name=tokens[k + 1].value, line=tokens[k].line, file=tokens[k].file)
@@ -169,21 +186,21 @@ class Programs:
         first = own.groupBy("base", "mark").agg(F.min(F.struct("program_name", "path", "row")).alias("first"))
         variant = first.withColumn("variant", F.row_number().over(Window.partitionBy("base").orderBy("first"))).drop("first")
         shown = F.concat(F.lit("record:"), "base", F.when(F.col("variant") > 1, F.concat(F.lit("~"), "variant")).otherwise(""))
-        return own.join(variant, ["base", "mark"]).withColumn("id", shown)
+        return settle(own.join(variant, ["base", "mark"]).withColumn("id", shown), "records")
 
     @cached_property
     def fields(self) -> DataFrame:
         """(id, record, ...) of each record once."""
         ids = self.records.select("of", "path", F.col("record").cast("int").alias("record_ord"), F.col("id").alias("record"), "program_name")
         chosen = ids.groupBy("record").agg(F.min(F.struct("program_name", "path", "record_ord", "of")).alias("c")).select("record", "c.path", "c.record_ord", "c.of")
-        return self.table("field").join(chosen, ["of", "path", "record_ord"]).withColumn("id", F.concat(F.lit("field:"), F.regexp_replace("record", "^record:", ""), F.lit(":"), "qualified_name"))
+        return settle(self.table("field").join(chosen, ["of", "path", "record_ord"]).withColumn("id", F.concat(F.lit("field:"), F.regexp_replace("record", "^record:", ""), F.lit(":"), "qualified_name")), "fields")
 
     @cached_property
     def paragraphs(self) -> DataFrame:
         """(program, ord, name, section, line, file, end_line, terminal)."""
         ends = self.statements.where("parent is null").groupBy("of", F.col("paragraph").alias("ord")).agg(F.bool_or("terminal").alias("terminal"))
         own = self.table("paragraph").drop("path", "row").join(ends, ["of", "ord"], "left")
-        return own.withColumn("terminal", F.coalesce("terminal", F.lit(False))).withColumnRenamed("of", "program")
+        return settle(own.withColumn("terminal", F.coalesce("terminal", F.lit(False))).withColumnRenamed("of", "program"), "paragraphs")
 
     @cached_property
     def resolved_transfers(self) -> DataFrame:
@@ -201,7 +218,7 @@ class Programs:
         jump = F.col("type").isin("GO TO", "ALTER", "CICS HANDLE")
         hi = F.when(jump, F.col("_to.lo")).when(F.col("thru").isNotNull(), F.col("_until.hi")).otherwise(F.col("_to.hi"))
         both = F.col("_to").isNotNull() & (F.col("thru").isNull() | F.col("_until").isNotNull())
-        return wide.withColumns({"lo": F.when(both, F.col("_to.lo")), "hi": F.when(both, hi), "missing": F.when(F.col("_to").isNull(), F.col("target")).when(~both, F.col("thru"))}).drop("_to", "_until")
+        return settle(wide.withColumns({"lo": F.when(both, F.col("_to.lo")), "hi": F.when(both, hi), "missing": F.when(F.col("_to").isNull(), F.col("target")).when(~both, F.col("thru"))}).drop("_to", "_until"), "resolved_transfers")
 
     @cached_property
     def flow_edges(self) -> DataFrame:
@@ -212,13 +229,13 @@ class Programs:
 
     @cached_property
     def reachable(self) -> DataFrame:
-        return control_flow.reachable(self.paragraphs.select("program", "ord", "terminal"), self.flow_edges)
+        return settle(control_flow.reachable(self.paragraphs.select("program", "ord", "terminal"), self.flow_edges), "reachable")
 
     @cached_property
     def recursive(self) -> DataFrame:
         """(program, ord) of paragraphs that perform themselves, directly or through others."""
         members = control_flow.range_members(self.flow_edges.where("type = 'PERFORM'"))
-        return reaches_itself(members.select("program", F.col("ord").alias("src"), F.col("member").alias("dst")), ["program"]).withColumnRenamed("node", "ord")
+        return settle(reaches_itself(members.select("program", F.col("ord").alias("src"), F.col("member").alias("dst")), ["program"]).withColumnRenamed("node", "ord"), "recursive")
 
     @cached_property
     def complexity(self) -> DataFrame:
@@ -228,7 +245,7 @@ class Programs:
         st = self.statements.join(whens, ["of", "id"], "left").join(phrases, ["of", "id"], "left")
         st = st.select(F.col("of").alias("program"), "paragraph", "verb", F.coalesce("branches", F.lit(0)).alias("branches"), "loop", F.coalesce("phrases", F.lit(0)).alias("phrases"))
         told = control_flow.complexity(st)
-        return self.paragraphs.select("program", F.col("ord").alias("paragraph")).join(told, ["program", "paragraph"], "left").withColumn("complexity", F.coalesce("complexity", F.lit(1)))
+        return settle(self.paragraphs.select("program", F.col("ord").alias("paragraph")).join(told, ["program", "paragraph"], "left").withColumn("complexity", F.coalesce("complexity", F.lit(1))), "complexity")
 
     @cached_property
     def undefined(self) -> DataFrame:
@@ -238,6 +255,30 @@ class Programs:
         selects = self.inventory.table("select").select(F.col("owner").alias("program"), F.col("select").alias("name"))
         return checks.undefined_names(uses, defined.union(selects))
 
+    @cached_property
+    def sql_problems(self) -> DataFrame:
+        """(code, of, file, line) of SQL against its tables: columns that are not there, variables that don't suit, lists of unlike length."""
+        from lodestone.operators import layout_checks
+
+        tables = self.inventory.table("table").select("name")
+        columns = self.inventory.table("column").select(F.col("table").alias("name"), F.col("name").alias("column"), layout_checks.column_type(F.col("type")).alias("t"))
+        exact = tables.select(F.col("name").alias("table"), F.col("name").alias("known"))
+        short = tables.select(F.col("name").alias("short"), F.col("name").alias("also"))
+        pairs = self.table("sql_pair").withColumn("short", F.substring_index("table", ".", -1)).join(exact, "table", "left").join(short, "short", "left")
+        pairs = pairs.withColumn("name", F.coalesce("known", "also")).where("name is not null")
+        told = pairs.join(columns, ["name", "column"], "left")
+        unknown = told.where("t is null").select(F.lit("unknown_column").alias("code"), "of", "file", "line")
+        f = self.table("field").groupBy("of", F.col("name").alias("host")).agg(F.min_by(F.struct("category", "size", "usage", "digits", F.col("scale").alias("field_scale"), "record_ord", "qualified_name"), "row").alias("f"))
+        typed = told.where("t is not null").join(f, ["of", "host"]).select("of", "file", "line", "t.type", "t.length", "t.precision", "t.scale", "f.category", "f.size", "f.usage", "f.digits", "f.field_scale")
+        unlike = typed.where(layout_checks.incompatibility().isNotNull()).select(F.lit("host_variable_type_mismatch"), "of", "file", "line")
+        # one host structure stands for its elementary fields
+        counts = self.table("sql_count").join(f.select("of", F.col("host").alias("structure"), "f"), ["of", "structure"], "left")
+        below = self.table("field").where("elementary").select("of", F.col("record_ord").alias("r"), F.col("qualified_name").alias("q"))
+        groups = counts.where("f.category = 'group'").select("of", "statement", F.col("f.record_ord").alias("r"), F.concat("f.qualified_name", F.lit(".")).alias("prefix"))
+        inside = groups.join(below, ["of", "r"]).where(F.col("q").startswith(F.col("prefix"))).groupBy("of", "statement").agg(F.count("*").alias("members"))
+        uneven = counts.join(inside, ["of", "statement"], "left").where(F.col("columns") != F.coalesce("members", "hosts")).select(F.lit("sql_column_count_mismatch"), "of", "file", "line")
+        return settle(unknown.union(unlike).union(uneven).distinct(), "sql_problems")
+
     @cached_property
     def issues(self) -> DataFrame:
         """severity, code, subject, path, line of what parsing found."""
@@ -258,8 +299,9 @@ class Programs:
         unknown = self.undefined.select(F.lit("undefined_data_name"), "program", F.lit(None).cast("string"), "first_line")
         functions = self.table("function").select(F.lit("unknown_intrinsic_function"), "of", "file", "line")
         failed = self.table("program").where("status = 'failed'").select(F.lit("parse_failed"), "of", "path", F.lit(1))
+        sql = self.sql_problems.select("code", "of", "file", "line")
         out = problems
-        for more in (copies, undefined, backwards, altered, dead, loops, twice, unreachable, unknown, functions, failed):
+        for more in (sql, copies, undefined, backwards, altered, dead, loops, twice, unreachable, unknown, functions, failed):
             out = out.union(more)
         severity = F.when(F.col("code") == "parse_failed", "error").when(F.col("code").isin(*info), "info").otherwise("warning")
-        return out.select(severity.alias("severity"), "code", "subject", "path", "line")
+        return settle(out.select(severity.alias("severity"), "code", "subject", "path", "line"), "issues")

@@ -48,7 +48,7 @@ def write_graph_csv(g: PropertyGraph, folder: str) -> None:
 def write_cypher(g: PropertyGraph, folder: str) -> None:
     """A script: constraints, nodes and relationships in batches."""
     nodes = graph.cypher_nodes(g.nodes.drop("properties"), ["name", "missing"]).select(F.lit(1).alias("part"), F.col("label").alias("a"), F.lit("").alias("b"), "batch", "script")
-    labels = g.nodes.select("label").distinct().select(F.lit(0), "label", F.lit(""), F.lit(0).cast("bigint"), F.concat(F.lit("CREATE CONSTRAINT "), F.lower("label"), F.lit("_id IF NOT EXISTS FOR (n:"), "label", F.lit(") REQUIRE n.id IS UNIQUE;")))
+    labels = g.nodes.select("label").distinct().select(F.lit(0).alias("part"), F.col("label").alias("a"), F.lit("").alias("b"), F.lit(0).cast("bigint").alias("batch"), F.concat(F.lit("CREATE CONSTRAINT "), F.lower("label"), F.lit("_id IF NOT EXISTS FOR (n:"), "label", F.lit(") REQUIRE n.id IS UNIQUE;")).alias("script"))
     ends = [g.nodes.select(F.col("id").alias(f"{s}_id"), F.col("label").alias(f"{s}_label")) for s in ("from", "to")]
     rels = graph.batches(g.rels.join(ends[0], "from_id").join(ends[1], "to_id"), ["type", "from_label", "to_label"], ["from_id", "to_id"])
     one = F.concat(F.lit("{a: "), graph.cypher_literal(F.col("from_id"), "string"), F.lit(", b: "), graph.cypher_literal(F.col("to_id"), "string"), F.lit(", n: "), "count", F.lit("}"))

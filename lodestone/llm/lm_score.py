@@ -1,15 +1,18 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary.
 
-Three passes over all documents, each with counts that are added up per worker before
-they are shuffled:
+Words are 64-bit hashes (A-Z lower-cased) less a bit that tells words from bigrams. Every
+word and bigram of either side counts, so the models grow with the texts; they are never
+with one process. Their keys are dealt to parts whose number grows with the texts:
 
-1. Words (as 64-bit hashes, A-Z lower-cased) are counted. Those that make up at least
-   one word in VOCABULARY of the background are the vocabulary of both models, so it has
-   at most VOCABULARY entries whatever the corpus; all others are one unknown word.
-2. Bigrams of vocabulary words are counted over target and background. Those that make
-   up at least one in BIGRAMS of the background are kept by both models: again a bound
-   that holds at every size. The rest fall back to the unigram by the Dirichlet prior.
-3. Each document's losses under both models are added up word by word.
+1. Texts are put into blocks. A block sends its distinct words and bigrams to their parts,
+   with what it adds to their counts, as packed sorted keys.
+2. A part adds up the counts of all blocks and answers each block with the sums. A block
+   sends a key once, so a key that is in every text weighs no more than any other.
+3. The answers meet their block, and losses under both models are added up word by word.
+   Bigrams fall back to the unigram by the Dirichlet prior, as do words in neither side.
+
+VOCABULARY and BIGRAMS, where set, cut to a share of the background instead: other words
+are one unknown word, and other bigrams fall back.
 
 The target is any set of documents; the query takes those labelled as of good quality.
 The score is the mean over words of the background's loss less the target's, in bits:
@@ -25,162 +28,239 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import common
 
-#: A word of the vocabulary is one in so many words of the background at least; a kept bigram one in so many bigrams.
-VOCABULARY, BIGRAMS = 50_000, 1 << 20
+#: None keeps every word and bigram. A number cuts to the words (bigrams) that are one in so many of the background at least.
+VOCABULARY: int | None = None
+BIGRAMS: int | None = None
 #: Weight of the unigram model in a bigram's probability, in counts.
 PRIOR = 50.0
-#: Distinct entries that a worker adds up before it passes them on.
+#: Entries that a block holds before it adds them up.
 HELD = 1_500_000
+#: Bytes of text for each part of the models, and in a block.
+PART_BYTES, BLOCK_BYTES = 8_000_000, 8_000_000
+
+#: What stands for all words outside a cut vocabulary; word hashes are never 0.
+UNKNOWN = np.uint64(0)
 
 
-def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _words(batch: pa.RecordBatch, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the words (even) and their texts; keys of the bigrams within texts (odd) and the places of their second words."""
     data, offsets = common.text_bytes(batch.column("text"))
     starts, ends, owner = common.find_words(data, offsets, common.ALNUM)
-    return common.word_hashes(data, starts, ends).view(np.int64), owner
+    words = common.word_hashes(data, starts, ends) & ~np.uint64(1)
+    if vocabulary is not None:
+        words[~_find(vocabulary, words)[1]] = UNKNOWN
+    at = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+    with np.errstate(over="ignore"):
+        pairs = common.mix(common.mix(words[at - 1]) + words[at]) | np.uint64(1)
+    return words, owner, pairs, at
 
 
-def _added(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Counts of the keys of all parts, passed on whenever many are held."""
-    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-    for part in parts:
-        new, n = np.unique(part, return_counts=True)
-        both, which = np.unique(np.concatenate([keys, new]), return_inverse=True)
-        counts = np.bincount(which, np.concatenate([counts, n]), len(both)).astype(np.int64)
-        keys = both
-        if len(keys) > HELD:
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
-            keys, counts = keys[:0], counts[:0]
-    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
+def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of asked in the sorted keys, and which of them are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return place, keys[place] == asked
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _added(_words(b)[0] for b in common.chunks(batches))
+def _split(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the keys of each part, in the keys' order."""
+    part = ((keys >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
+        yield int(part[order[a]]), order[a:b]
 
 
-class Vocabulary:
-    """Sorted word hashes; the number of a word is its place, that of any other word the length."""
+def _pack(numbers: np.ndarray) -> bytes:
+    """64-bit numbers with like bytes together, for the shuffle's compression."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.hashes = np.sort(hashes)
-        bits = max(10, int(np.ceil(np.log2(max(len(hashes), 1)))) + 4)
-        self.shift = np.uint64(64 - bits)
-        self.maybe = np.zeros(1 << bits, bool)
-        self.maybe[self.cell(self.hashes)] = True
 
-    def cell(self, words: np.ndarray) -> np.ndarray:
-        return (words.view(np.uint64) >> self.shift).astype(np.int64)
+def _unpack(packed: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
 
-    def __len__(self) -> int:
-        return len(self.hashes)
 
-    def number(self, words: np.ndarray) -> np.ndarray:
-        out = np.full(len(words), len(self), np.int64)
-        at = np.flatnonzero(self.maybe[self.cell(words)])
-        place = np.searchsorted(self.hashes, words[at])
-        hit = self.hashes[np.minimum(place, len(self) - 1)] == words[at] if len(self) else np.empty(0, bool)
-        out[at[hit]] = place[hit]
-        return out
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _pairs(words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bigrams within texts as one number each, and the place of the second word."""
-    at = np.flatnonzero(owner[1:] == owner[:-1]) + 1
-    return words[at - 1] * (size + 1) + words[at], at
-
-
-def _count_pairs(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    v = vocabulary.value
-
-    def parts() -> Iterator[np.ndarray]:
-        for batch in common.chunks(batches):
-            hashes, owner = _words(batch)
-            words = v.number(hashes)
-            pairs, at = _pairs(words, owner, len(v))
-            # unigrams go along as negative numbers
-            yield np.concatenate([pairs[(words[at] < len(v)) & (words[at - 1] < len(v))], -1 - words])
-
-    yield from _added(parts())
-
-
-class Model:
-    """Probabilities of one side over the shared vocabulary and the shared bigrams."""
-
-    def __init__(self, size: int, unigrams: dict[int, int], pairs: np.ndarray, counts: np.ndarray) -> None:
-        own = np.zeros(size + 1)
-        own[list(unigrams)] = list(unigrams.values())
-        self.size = size
-        self.base = (own + 1) / (own.sum() + size + 1)
-        self.heads = own
-        self.pairs, self.counts = pairs, counts
-
-    def loss(self, words: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Bits of each word, given the word before it in its text."""
-        p = self.base[words]
-        pairs, at = _pairs(words, owner, self.size)
-        count = np.zeros(len(pairs))
-        if len(self.pairs):
-            place = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-            hit = self.pairs[place] == pairs
-            count[hit] = self.counts[place[hit]]
-        head = self.heads[words[at - 1]]
-        p[at] = (count + PRIOR * p[at]) / (head + PRIOR)
-        return -np.log2(p)
-
-
-def _score(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch]:
-    vocabulary, target, background = models.value
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed, np.uint64), dtype=np.uint64)
+
+
+def _rows(**columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({c: pa.array(v, pa.binary() if c in ("keys", "m", "n", "body") else pa.int64()) for c, v in columns.items()})
+
+
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and their counts in target and background."""
+    keys, m, n = (np.concatenate(x) for x in zip(*parts))
+    known, which = np.unique(keys, return_inverse=True)
+    return known, *(np.bincount(which, x, len(known)).astype(np.int64) for x in (m, n))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with their ids, about BLOCK_BYTES in a row."""
+    first = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+    size = made = 0
+
+    def block() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for b in held:
+                out.write_batch(b)
+        return _rows(block=[first + made], body=[sink.getvalue().to_pybytes()])
+
     for batch in common.chunks(batches):
-        hashes, owner = _words(batch)
-        words = vocabulary.number(hashes)
-        n = np.bincount(owner, minlength=batch.num_rows)
-        one, two = (np.bincount(owner, m.loss(words, owner), batch.num_rows) / np.maximum(n, 1) for m in (target, background))
-        empty = n == 0
-        names = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in names), pa.array(n.astype(np.int64)), pa.array(one, mask=empty), pa.array(two, mask=empty), pa.array(np.where(empty, 0.0, two - one))],
-            names=[*names, "n_words", "target_loss", "background_loss", "score"],
-        )
-
-
-def train(target: DataFrame, background: DataFrame) -> tuple[Vocabulary, Model, Model]:
-    spark = background.sparkSession
-    texts = [df.select(F.col("text").cast("string").alias("text")) for df in (target, background)]
-    counted = common.settle(texts[1].mapInArrow(_count_words, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    kept = counted.where(F.col("n") * VOCABULARY >= total).select("key").toArrow()
-    vocabulary = Vocabulary(kept["key"].to_numpy())
-    shared = spark.sparkContext.broadcast(vocabulary)
-    pairs = [common.settle(t.mapInArrow(lambda it: _count_pairs(it, shared), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "pairs") for t in texts]
-    all_pairs = pairs[1].where("key >= 0").agg(F.sum("n")).first()[0] or 0
-    often = pairs[1].where((F.col("key") >= 0) & (F.col("n") * BIGRAMS >= all_pairs))
-    # one side's counts of the kept bigrams; at most BIGRAMS rows, and at most VOCABULARY + 1 unigrams
-    both = often.join(pairs[0].select("key", F.col("n").alias("m")), "key", "left").select("key", "n", F.coalesce("m", F.lit(0)).alias("m")).toArrow()
-    keys, n, m = (both[c].to_numpy() for c in ("key", "n", "m"))
-    order = np.argsort(keys)
-    models = []
-    for df, counts in zip(pairs, (m, n)):
-        unigrams = {-1 - r.key: r.n for r in df.where("key < 0").collect()}
-        models.append(Model(len(vocabulary), unigrams, keys[order], counts[order]))
-    return vocabulary, models[0], models[1]
-
-
-def score(docs: DataFrame, models: tuple[Vocabulary, Model, Model], id_col: str = "doc_id") -> DataFrame:
-    """id_col, n_words, target_loss and background_loss in bits a word, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    kind = docs.schema[id_col].dataType.simpleString()
-    made = docs.select(id_col, F.col("text").cast("string").alias("text"))
-    return made.mapInArrow(lambda it: _score(it, shared), f"`{id_col}` {kind}, n_words bigint, target_loss double, background_loss double, score double")
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= BLOCK_BYTES:
+            yield block()
+            held, size, made = [], 0, made + 1
+    if held:
+        yield block()
+
+
+def _texts(body: bytes) -> Iterator[pa.RecordBatch]:
+    yield from common.chunks(iter(pa.ipc.open_stream(body)))
+
+
+def _counted(body: bytes, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys of a block, and their counts in its texts of either side."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in _texts(body):
+        words, owner, pairs, at = _words(batch, vocabulary)
+        sides = []
+        for c in ("one", "two"):
+            own = batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[owner]
+            of_pair = own[at]
+            if vocabulary is not None:
+                of_pair = of_pair * ((words[at] != UNKNOWN) & (words[at - 1] != UNKNOWN))
+            sides.append(np.concatenate([own, of_pair]))
+        held.append(_added([(np.concatenate([words, pairs]), *sides)]))
+        if sum(len(x[0]) for x in held) > HELD:
+            held = [_added(held)]
+    return _added(held)
+
+
+def _keys(body: bytes, vocabulary: np.ndarray | None) -> np.ndarray:
+    return np.unique(np.concatenate([np.unique(np.concatenate([w, p])) for w, _, p, _ in (_words(b, vocabulary) for b in _texts(body))]))
+
+
+def _ask(batches: Iterator[pa.RecordBatch], parts: int, cut) -> Iterator[pa.RecordBatch]:
+    """The keys of each block by part, with what the block adds to their counts."""
+    for batch in batches:
+        for block, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
+            keys, m, n = _counted(body, cut.value if cut else None)
+            rows = [(block, p, _pack_keys(keys[at]), _pack(m[at]), _pack(n[at])) for p, at in _split(keys, parts)]
+            yield _rows(**{c: [r[k] for r in rows] for k, c in enumerate(("block", "part", "keys", "m", "n"))})
+
+
+def _merge(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """One part of both models, and the places of each block's keys in it."""
+    keys = [_unpack_keys(k) for k in asked.column("keys").to_pylist()]
+    known, which = np.unique(np.concatenate(keys), return_inverse=True)
+    m, n = (np.bincount(which, np.concatenate([_unpack(x, np.int64) for x in asked.column(c).to_pylist()]), len(known)).astype(np.int64) for c in ("m", "n"))
+    return known, m, n, np.split(which, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def _merged(asked: pa.Table) -> pa.Table:
+    """The words of one part and their counts in the background."""
+    keys, _, n, _ = _merge(asked)
+    word = keys & np.uint64(1) == 0
+    return pa.table({"key": keys[word].view(np.int64), "n": n[word]})
+
+
+_ANSWERS = "block bigint, part bigint, m binary, n binary, size bigint, words_m bigint, words_n bigint, pairs_n bigint"
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """Counts in both sides of each block's keys, in their order; and a row without block that holds the part's sums."""
+    keys, m, n, places = _merge(asked)
+    word = keys & np.uint64(1) == 0
+    sums = [int(x) for x in ((word & (keys != UNKNOWN) & (m + n > 0)).sum(), m[word].sum(), n[word].sum(), n[~word].sum())]
+    rows = [(None, None, None, None, *sums)]
+    for block, part, at in zip(asked.column("block").to_pylist(), asked.column("part").to_pylist(), places):
+        rows.append((block, part, _pack(m[at]), _pack(n[at]), None, None, None, None))
+    names = [f.split()[0] for f in _ANSWERS.split(", ")]
+    return pa.Table.from_batches([_rows(**{c: [r[k] for r in rows] for k, c in enumerate(names)})])
+
+
+def _score(texts: pa.Table, answers: pa.Table, parts: int, cut, sums: tuple[int, int, int], least: float, schema: pa.Schema) -> pa.Table:
+    size, *totals = sums
+    out = []
+    for body in texts.column("body").to_pylist():
+        keys = _keys(body, cut.value if cut else None)
+        sides = np.zeros((2, len(keys)))
+        told = {p: (m, n) for p, m, n in zip(*(answers.column(c).to_pylist() for c in ("part", "m", "n")))}
+        for p, at in _split(keys, parts):
+            for side, packed in zip(sides, told[p]):
+                side[at] = _unpack(packed, np.int64)
+        sides[:, (keys & np.uint64(1) == 1) & (sides[1] < least)] = 0
+        for batch in _texts(body):
+            words, owner, pairs, at = _words(batch, cut.value if cut else None)
+            place, of_pair = np.searchsorted(keys, words), np.searchsorted(keys, pairs)
+            n = np.bincount(owner, minlength=batch.num_rows)
+            losses = []
+            for side, total in zip(sides, totals):
+                p = (side[place] + 1) / (total + size + 1)
+                p[at] = (side[of_pair] + PRIOR * p[at]) / (side[place[at - 1]] + PRIOR)
+                losses.append(np.bincount(owner, -np.log2(p), batch.num_rows) / np.maximum(n, 1))
+            empty, (one, two) = n == 0, losses
+            values = [batch.column(0), pa.array(n.astype(np.int64)), pa.array(one, mask=empty), pa.array(two, mask=empty), pa.array(np.where(empty, 0.0, two - one))]
+            out.append(pa.table(values, schema=schema))
+    return pa.concat_tables(out) if out else schema.empty_table()
+
+
+def text_size(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint"))).first()[0] or 0
+
+
+def score(texts: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
+    """id_col, n_words, target_loss and background_loss in bits a word, score.
+
+    Columns one and two, booleans, tell which texts are of the target and of the background; size is the bytes of all.
+    """
+    spark = texts.sparkSession
+    parts = size // PART_BYTES + 1
+    made = texts.select(id_col, F.col("text").cast("string").alias("text"), "one", "two")
+    # settled, as a block has to be the same texts when it asks and when it is answered
+    blocks = common.settle(made.mapInArrow(_blocks, "block bigint, body binary"), "blocks")
+    common.release(spark)
+
+    def asked(cut) -> DataFrame:
+        return blocks.mapInArrow(lambda it: _ask(it, parts, cut), "block bigint, part bigint, keys binary, m binary, n binary")
+
+    cut = None
+    if VOCABULARY is not None:
+        words = common.settle(asked(None).groupBy("part").applyInArrow(_merged, "key bigint, n bigint"), "words")
+        total = words.agg(F.sum("n")).first()[0] or 0
+        kept = words.where(F.col("n") * VOCABULARY >= total).select("key").toArrow()
+        cut = spark.sparkContext.broadcast(np.sort(kept["key"].to_numpy().view(np.uint64)))
+    answers = common.settle(asked(cut).groupBy("part").applyInArrow(_answer, _ANSWERS), "answers")
+    common.release(spark)
+    *sums, pairs = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "words_m", "words_n", "pairs_n"))).first()
+    least = pairs / BIGRAMS if BIGRAMS is not None else 0
+    columns = f"`{id_col}` {texts.schema[id_col].dataType.simpleString()}, n_words bigint, target_loss double, background_loss double, score double"
+    schema = made.select(id_col).limit(0).toArrow().schema
+    for name in ("n_words", "target_loss", "background_loss", "score"):
+        schema = schema.append(pa.field(name, pa.int64() if name == "n_words" else pa.float64()))
+    told = answers.where("block is not null").select("block", "part", "m", "n")
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, parts, cut, sums, least, schema), columns)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document, against the documents labelled as of good quality."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
     # labels grow with the documents, so the join is planned alike at every size
-    target = docs.select("doc_id", "text").hint("merge").join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left_semi")
-    target = common.settle(target.select("text"), "target")
-    return score(docs, train(target, docs))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).hint("merge").join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
+    texts = texts.select("doc_id", "text", F.col("good_id").isNotNull().alias("one"), F.lit(True).alias("two"))
+    return score(texts, text_size(docs))

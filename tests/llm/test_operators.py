@@ -534,6 +534,25 @@ def test_language_model_scores(spark, docs, monkeypatch, vocabulary, bigrams):
         assert r.score == pytest.approx(two - one if one else 0, abs=1e-9) and r.n_words == len(leak_words(by_id[r.doc_id]))
 
 
+def test_language_model_keeps_rare_words_of_either_side(spark, monkeypatch):
+    # "rare words" is two in more than 2^20 bigrams of the background, and "only here" is in the target alone
+    monkeypatch.setattr(lm_score, "PART_BYTES", 1_000_000)
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 500_000)
+    background = [(i, "the common text " * 10_000) for i in range(40)] + [(40, "rare words"), (41, "rare words")]
+    target = [(50, "only here"), (51, "the rare words")]
+    one, two = (spark.createDataFrame(rows, "doc_id long, text string") for rows in (target, background))
+    both = one.withColumn("one", F.lit(True)).withColumn("two", F.lit(False)).union(two.withColumn("one", F.lit(False)).withColumn("two", F.lit(True)))
+    got = {r.doc_id: r for r in lm_score.score(both, lm_score.text_size(both)).collect()}
+
+    def loss(first, first_n, second, pair, total):
+        a, b = ((n + 1) / (total + 8) for n in (first, second))
+        return -(np.log2(a) + np.log2((pair + lm_score.PRIOR * b) / (first_n + lm_score.PRIOR))) / 2
+
+    assert len(got) == 44
+    assert got[40].target_loss == pytest.approx(loss(1, 1, 1, 1, 5)) and got[40].background_loss == pytest.approx(loss(2, 2, 2, 2, 1_200_004))
+    assert got[50].target_loss == pytest.approx(loss(1, 1, 1, 1, 5)) and got[50].background_loss == pytest.approx(loss(0, 0, 0, 0, 1_200_004))
+
+
 def test_language_model_without_target(docs, spark):
     assert lm_score.report(docs, spark.createDataFrame([], "doc_id long, quality int")).where("score is null").count() == 0
     assert lm_score.report(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0

@@ -5,8 +5,11 @@ hold the article (menus, footers, forms, scripts, adverts, comments ...; by tag,
 words of class and id) are cut off. Each remaining paragraph gives points for its length
 and commas: all to its parent, half to the next ancestor, a third to the one above. A
 container's points are discounted by the share of its text that is in links. The best
-container is kept, or the article or main element around it, and its siblings with enough
-points or full sentences of their own. Every block of it is kept whole.
+container is kept whole, or the article or main element around it. Elsewhere the smallest
+element around it and all others that score well is kept, less what is mostly links.
+
+A word of class or id cuts an element only if links make up a third of its text or it holds
+no paragraph of PARAGRAPH_CHARS; never inside a sentence, and never an article's own header.
 
 Defined results: null or empty html, and pages without text, give an empty text;
 repeated rows are read each.
@@ -42,6 +45,8 @@ UNLIKELY = frozenset(
     "subscribe subscription tags toolbar topbar widget widgets".split()
 )
 LIKELY = frozenset("article body content entry main page post story text blog".split())
+TEXTUAL = frozenset("p pre li dt dd td th blockquote figcaption h1 h2 h3 h4 h5 h6".split())
+PARAGRAPH_CHARS = 80
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""", re.S)
@@ -51,12 +56,15 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "points", "length", "linked")
+    __slots__ = ("tag", "attributes", "parent", "children", "points", "length", "linked", "own", "dropped", "_cut")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
         self.points, self.length, self.linked = 0.0, 0, 0
+        self.own = 0.0  # points of its own paragraphs
+        self.dropped = False
+        self._cut: bool | None = None
 
     def likely(self) -> bool:
         return self.tag in ("article", "main") or bool(LIKELY & self.names()[0])
@@ -80,6 +88,11 @@ class Node:
         return words, hidden
 
     def cut(self) -> bool:
+        if self._cut is None:
+            self._cut = self._is_cut()
+        return self._cut or self.dropped
+
+    def _is_cut(self) -> bool:
         if self.tag in CUT:
             return True
         if self.tag in ("html", "body", "article", "main"):
@@ -93,7 +106,45 @@ class Node:
         if not self.attributes.strip():
             return False
         words, hidden = self.names()
-        return hidden or bool(words & UNLIKELY) and not (words & {"article", "main"})
+        if hidden:
+            return True
+        unlikely = words & UNLIKELY
+        if not unlikely or words & {"article", "main"}:
+            return False
+        if self.tag not in BLOCK and self.parent is not None and self.parent.tag in TEXTUAL:
+            return False
+        if unlikely <= {"header", "headers"} and self.of_article(words):
+            return False
+        return self.unlike_text()
+
+    def of_article(self, words: set[str]) -> bool:
+        if words & LIKELY:
+            return True
+        up = self.parent
+        while up is not None and up.tag not in ("body", "html"):
+            if up.likely():
+                return True
+            up = up.parent
+        return False
+
+    def unlike_text(self) -> bool:
+        """Whether links make up a third of the text, or no paragraph is in it."""
+        total = linked = longest = 0
+        stack: list[tuple[Node, bool, list[int]]] = [(self, False, [0])]
+        while stack:
+            here, in_link, run = stack.pop()
+            in_link |= here.tag == "a"
+            for c in here.children:
+                if isinstance(c, str):
+                    n = len(c.strip())
+                    total += n
+                    linked += n if in_link else 0
+                    run[0] += n
+                    longest = max(longest, run[0])
+                elif c.tag not in CUT:
+                    # text counts to the block it is in
+                    stack.append((c, in_link, [0] if c.tag in BLOCK else run))
+        return longest < PARAGRAPH_CHARS or linked * 3 > total
 
 
 def parse(source: str) -> Node:
@@ -203,6 +254,8 @@ def measure(root: Node) -> list[Node]:
             if up is None or up.tag == "#root":
                 break
             up.points += points * share / divisor
+            if divisor == 1:
+                up.own += points
             scored[id(up)] = up
             up = up.parent
     return list(scored.values())
@@ -238,21 +291,35 @@ def extract(source: str | None) -> str:
             if up.tag == "article":
                 break
         up = up.parent
-    parent = best.parent
-    if parent is None or best.tag in ("body", "html", "main"):
+    if best.parent is None or best.tag in ("body", "html", "main", "article"):
         return "\n\n".join(blocks(best))
     least = max(10.0, 0.2 * final_points(best))
-    out: list[str] = []
-    for child in parent.children:
-        if child is best:
-            out += blocks(best)
-        elif isinstance(child, str) or child.cut():
-            continue
-        elif final_points(child) >= least and not (child.points and child.linked > 0.5 * child.length):
-            out += blocks(child)
-        elif child.tag == "p" and child.length >= 80 and child.linked < 0.25 * child.length:
-            out += blocks(child)
-    return "\n\n".join(out)
+    good = [best, *(n for n in scored if n.own * (1 - n.linked / max(n.length, 1)) >= least)]
+    lines = [_line(n) for n in good]
+    # the parent, or whatever higher element is around all that score well
+    depth = min(len(lines[0]) - 1, *(len(x) for x in lines))
+    while any(x[:depth] != lines[0][:depth] for x in lines):
+        depth -= 1
+    spine = {id(n) for x in lines for n in x}
+    inside = {id(n) for n in good}
+    stack = [lines[0][depth - 1]]
+    while stack:
+        for c in stack.pop().children:
+            if isinstance(c, str) or id(c) in inside:
+                continue
+            if id(c) in spine:
+                stack.append(c)
+            elif c.tag in BLOCK and c.linked > 0.5 * c.length:
+                c.dropped = True
+    return "\n\n".join(blocks(lines[0][depth - 1]))
+
+
+def _line(node: Node) -> list[Node]:
+    """The node and all around it, outermost first."""
+    out = [node]
+    while out[-1].parent is not None:
+        out.append(out[-1].parent)
+    return out[::-1]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -445,6 +445,23 @@ def test_main_text(tag):
     assert extract.extract(PAGE % (tag, tag)) == "Head & tail\n\nFirst paragraph, of some length, with a break.\n\nSecond one été, also long enough to be told apart.\n\npoint one\n\npoint two"
 
 
+def test_main_text_keeps_short_parts_and_checks_class_words():
+    long, short = "Words of a long story, told at length. " * 8, "A short part of the story, which is still a part of it. " * 3
+    clean = lambda *parts: "\n\n".join(" ".join(x.split()) for x in parts)
+    first = "".join(f"<p>{long}</p>" for _ in range(5))
+    links = "<ul><li><a href=/a>Another page of the site</a></li><li><a href=/b>And one more page</a></li></ul>"
+    got = extract.extract(f"<body><div id=story><div class=part>{first}</div><h2>Next</h2><div class=part><p>{short}</p></div><p>End.</p>{links}</div></body>")
+    assert got == clean(*[long] * 5, "Next", short, "End.")
+    # a class word cuts lists of links and scraps, not paragraphs, words of a sentence or the article's own header
+    got = extract.extract(
+        f"<article><div class=post-header><h1>Title</h1></div><p>A <span class=notice>public</span> thing.</p><div class=share><p>{long}</p></div><div class=related>{links}</div><div class=share>Tweet</div>{first}</article>"
+    )
+    assert got == clean("Title", "A public thing.", long, *[long] * 5)
+    # containers apart are held by what is around both
+    got = extract.extract(f"<body><div>{links}</div><div><div><div>{first}</div></div><div><div>{first}</div></div></div></body>")
+    assert got == clean(*[long] * 10)
+
+
 def test_main_text_of_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>x"), (4, "u", "plain &lt;b&gt; text"), (5, "u", "<html><body></body>"), (6, "u", "<div>" * 3000 + "deep"), (7, "u", "<<<p >a<b"), (7, "u", "<<<p >a<b")]
     got = extract.report(spark.createDataFrame(rows, "page_id long, url string, html string"))

@@ -7,8 +7,8 @@ the noisy-or. Scoring is one narrow pass over whole texts.
 
 Defined results: a null or empty text has no sentence and scores 0; without labelled
 rows, or with one label only, every score is that label's share (0 without any); a
-doc_id that is labelled several times counts with its highest label; repeated rows are
-scored each.
+doc_id that is labelled several times counts with its highest label, and one with several
+texts trains with the least of them; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -19,16 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import common
 
-#: Labelled documents to train on at most, those with the smallest hashes of their ids, and characters that one may have.
-TRAINING_DOCUMENTS, TRAINING_CHARS = 8000, 12_000
+#: Labelled documents to train on at most, those with the smallest hashes of their ids; of any length.
+TRAINING_DOCUMENTS = 8000
 SPACE = 1 << 18
 PREFIXES = (4, 5, 6)
 ROUNDS = 120
-#: How much likelier in documents with the label than in others a feature must be to get a weight.
-LIKELIER = 1.5
 #: What every weight costs, in log-likelihood a document.
 SHRINK = 2e-5
 #: The folds by crc32 of the id; this one is held out.
@@ -82,46 +81,61 @@ class Model:
             return np.full(n, self.constant)
         features, sentence, text, _, _ = featurize(data, offsets)
         p = self.sentences(features, sentence, len(text))
-        return -np.expm1(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
+        return np.abs(np.expm1(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), n)))
 
 
-def fit(texts: pa.Array, labels: np.ndarray) -> Model:
-    """Adam on the noisy-or's log-likelihood, with the features of three documents or more.
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents, and how many with the label, hold each feature."""
+    holds, positive = np.zeros(SPACE, np.int64), np.zeros(SPACE, np.int64)
+    for batch in common.chunks(batches):
+        features, sentence, text, _, _ = featurize(*common.text_bytes(batch.column("text")))
+        labels = batch.column("label").to_numpy().astype(np.int64)
+        held = np.unique(features * np.int64(batch.num_rows) + text[sentence]) if len(features) else np.empty(0, np.int64)
+        holds += np.bincount(held // batch.num_rows, minlength=SPACE)
+        positive += np.bincount(held // batch.num_rows, labels[held % batch.num_rows], SPACE).astype(np.int64)
+    at = np.flatnonzero(holds)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(holds[at]), pa.array(positive[at])], names=["feature", "holds", "positive"])
+
+
+def _bags(batches: Iterator[pa.RecordBatch], useful) -> Iterator[pa.RecordBatch]:
+    """Of each document: how many sentences hold no useful feature, and the features of those that do, with their sizes."""
+    bits = np.zeros(SPACE, bool)
+    bits[useful.value] = True
+    for batch in common.chunks(batches):
+        features, sentence, text, _, _ = featurize(*common.text_bytes(batch.column("text")))
+        total = np.bincount(text, minlength=batch.num_rows)
+        features, sentence = once(features, sentence, bits) if len(features) else (features, sentence)
+        sizes = np.bincount(sentence, minlength=len(text)).astype(np.int32)
+        some = np.flatnonzero(sizes)
+        first = np.searchsorted(text[some], np.arange(batch.num_rows + 1))
+        ends = np.concatenate([[0], np.cumsum(sizes[some])])
+        raw, of = features.astype(np.int32), sizes[some]
+        rows = [(raw[ends[i] : ends[j]].tobytes(), of[i:j].tobytes()) for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
+        plain = total - np.diff(first)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("label"), pa.array(plain.astype(np.int64)), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
+            names=["id", "label", "plain", "features", "sizes"],
+        )
+
+
+def fit(features: np.ndarray, sentence: np.ndarray, text: np.ndarray, plain: np.ndarray, labels: np.ndarray) -> Model:
+    """Adam on the noisy-or's log-likelihood: features and their sentences, the sentences' documents, and each document's sentences without features.
 
     Weights are not negative: a sentence offends by what it holds, and ordinary words around that don't excuse it.
-    So a weight is only gained by a feature that is likelier in labelled documents than in all.
-    Texts are read twice, a chunk at a time: to count the features' documents, and to keep what may weigh.
     """
-    if not len(labels) or labels.min() == labels.max():
-        return Model(np.zeros(SPACE), 0.0, float(labels.mean()) if len(labels) else 0.0)
-    holds, positive = np.zeros(SPACE), np.zeros(SPACE)
-    for at, part in common.slices(texts):
-        features, sentence, text, _, _ = featurize(*common.text_bytes(part))
-        held = np.unique(features * np.int64(len(part)) + text[sentence])
-        holds += np.bincount(held // len(part), minlength=SPACE)
-        positive += np.bincount(held // len(part), labels[at + held % len(part)], SPACE)
-    useful = (holds >= 3) & (positive / labels.sum() > LIKELIER * (holds - positive) / (len(labels) - labels.sum()))
-    kept: tuple[list, list, list] = ([], [], [])
-    n = 0
-    for at, part in common.slices(texts):
-        features, sentence, text, _, _ = featurize(*common.text_bytes(part))
-        features, sentence = once(features, sentence, useful)
-        for own, more in zip(kept, (features.astype(np.int32), (sentence + n).astype(np.int32), (text + at).astype(np.int32))):
-            own.append(more)
-        n += len(text)
-    features, sentence, text = (np.concatenate(x) for x in kept)
     used, column = np.unique(features, return_inverse=True)
     column = column.ravel()
-    w, bias = np.zeros(len(used) + 1), np.log(0.01)
-    w[-1] = bias
+    w = np.zeros(len(used) + 1)
+    w[-1] = np.log(0.01)
     m, v = np.zeros_like(w), np.zeros_like(w)
+    squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, ROUNDS + 1):
-        z = np.bincount(sentence, w[column], len(text)) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), len(labels))
+        p, p0 = squash(np.bincount(sentence, w[column], len(text)) + w[-1]), squash(w[-1])
+        none = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), len(labels)) + plain * np.log1p(-p0)
         some = np.maximum(-np.expm1(none), 1e-9)
-        push = np.where(labels > 0, -np.exp(none) / some, 1.0)[text] * p / len(labels)
-        grad = np.append(np.bincount(column, push[sentence], len(used)), push.sum())
+        of_document = np.where(labels > 0, -np.exp(none) / some, 1.0) / len(labels)
+        push = of_document[text] * p
+        grad = np.append(np.bincount(column, push[sentence], len(used)), push.sum() + (of_document * plain).sum() * p0)
         grad[:-1] += SHRINK
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -136,14 +150,32 @@ def fold(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model:
-    """A model from at most TRAINING_DOCUMENTS labelled documents outside the held-out fold."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
-    known = known.groupBy("doc_id").agg(F.max(label_col).alias("_label"))
+    """A model from at most TRAINING_DOCUMENTS labelled documents outside the held-out fold.
+
+    Only features that are likelier in labelled documents than in all can gain a weight, so no others are
+    gathered. Texts stay with the workers: the driver gets these features by sentence.
+    """
+    spark = docs.sparkSession
+    known = labels.select(F.col("doc_id").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+    known = known.where(F.col("id").isNotNull() & F.col("label").isNotNull() & (fold(F.col("id")) != HELD_OUT))
     # a bounded number of ids is chosen first, so that no text is shuffled to find them
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_DOCUMENTS)
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= TRAINING_CHARS)
-    chosen = texts.join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(TRAINING_DOCUMENTS).select("text", "_label").toArrow()
-    return fit(chosen["text"].combine_chunks(), chosen["_label"].to_numpy().astype(np.float64))
+    known = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(TRAINING_DOCUMENTS)
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    chosen = common.settle(texts.join(F.broadcast(known), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "labelled")
+    counts = {r.label: r.n for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n, n_positive = sum(counts.values()), counts.get(1, 0)
+    if not n or not 0 < n_positive < n:
+        return Model(np.zeros(SPACE), 0.0, n_positive / n if n else 0.0)
+    bits = chosen.select("text", "label").mapInArrow(_bits, "feature bigint, holds bigint, positive bigint")
+    bits = bits.groupBy("feature").agg(F.sum("holds").alias("holds"), F.sum("positive").alias("positive"))
+    useful = bits.where((F.col("holds") >= 3) & (F.col("positive") * n > F.col("holds") * n_positive)).select("feature").toArrow()
+    shared = spark.sparkContext.broadcast(useful["feature"].to_numpy())
+    kind = chosen.schema["id"].dataType.simpleString()
+    bags = chosen.mapInArrow(lambda it: _bags(it, shared), f"id {kind}, label int, plain bigint, features binary, sizes binary").toArrow().sort_by("id")
+    join = lambda c: np.frombuffer(b"".join(bags[c].to_pylist()), np.int32)
+    sizes = join("sizes")
+    text = np.repeat(np.arange(len(bags)), [len(x) // 4 for x in bags["sizes"].to_pylist()])
+    return fit(join("features"), np.repeat(np.arange(len(sizes)), sizes), text, bags["plain"].to_numpy().astype(np.float64), bags["label"].to_numpy().astype(np.float64))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -156,8 +188,9 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """id_col and the document's score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _score(it, shared), f"`{id_col}` {kind}, score double")
+    made = docs.select(F.col(f"`{id_col}`").alias("id"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([T.StructField("id", made.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    return made.mapInArrow(lambda it: _score(it, shared), schema).withColumnRenamed("id", id_col)
 
 
 def _locate(batches: Iterator[pa.RecordBatch], model, least: float) -> Iterator[pa.RecordBatch]:
@@ -176,9 +209,9 @@ def _locate(batches: Iterator[pa.RecordBatch], model, least: float) -> Iterator[
 def offending(docs: DataFrame, model: Model, least: float = 0.5, id_col: str = "doc_id") -> DataFrame:
     """The sentences scored least or more: id_col, start and end (code points, from first to last word), score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
-    made = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"))
-    return made.mapInArrow(lambda it: _locate(it, shared, least), f"id {kind}, start bigint, `end` bigint, score double").withColumnRenamed("id", id_col)
+    made = docs.select(F.col(f"`{id_col}`").alias("id"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([T.StructField("id", made.schema["id"].dataType), *(T.StructField(c, k) for c, k in (("start", T.LongType()), ("end", T.LongType()), ("score", T.DoubleType())))])
+    return made.mapInArrow(lambda it: _locate(it, shared, least), schema).withColumnRenamed("id", id_col)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

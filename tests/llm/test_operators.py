@@ -375,24 +375,71 @@ def test_personal_data(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[0] == k for b in base) for k in pii.KINDS]
 
 
-def test_skip_links_carry_labels():
-    """A name that is doubtful alone takes the label of the address that it belongs to."""
-    field = pii.train(pii.labelled_samples())
-    name, mail = "quvbxz.41", "quvbxz.41@mail3.example.com"
-    for pieces, want in (([(name, "the", False)], 0), ([(mail, "to", False), ("12", "in", False), (name, "the", False)], 1)):
-        graph = pii.Graph()
-        graph.document(pieces)
-        assert field.marginals(*graph.arrays())[-1].argmax() == want
-
-
-def test_personal_data_model_on_held_out_samples():
-    field = pii.train(pii.labelled_samples())
+@pytest.fixture(scope="module")
+def field():
+    return pii.train(pii.labelled_samples())
+
+
+def added(spark, field, texts):
+    """The crf spans of texts as (kind, text)."""
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    out = []
+    for i, t in rows:
+        spans = [x.split(":") for x in got[i].split(",") if x.startswith("crf_")]
+        out.append([(k, t[int(s) : int(e)]) for k, s, e in spans])
+    return out
+
+
+def test_a_name_is_labelled_alike_however_often_it_repeats(spark, field):
+    mail, name = "quvbxz.41@mail3.example.com", "quvbxz.41"
+    texts = [f"the {name} of"] + [f"to {mail} in" + f" the {name} of page" * n for n in (1, 5, 15, 30, 120)] + [f"the {name} of " * 40 + mail]
+    got = added(spark, field, texts)
+    assert got[0] == []
+    for spans, n in zip(got[1:], (1, 5, 15, 30, 120, 40)):
+        assert spans == [("crf_email", name)] * n
+
+
+def test_bare_names_without_digits_and_roles(spark, field):
+    texts = ["to john.smith@corp.example.com and\nlater john.smith, or John.Smith.", "write to contact@corp.example.com, a contact of ours; contact us", "john.smith alone"]
+    assert added(spark, field, texts) == [[("crf_email", "john.smith"), ("crf_email", "John.Smith")], [], []]
+
+
+def test_long_pieces_and_texts_without_spaces(spark, field):
+    phone = "212-555-0199"
+    texts = [f"call {phone}" + "." * 190 + " now", '{"rows":[' + ",".join('{"id":%d,"phone":"%s"}' % (k, phone) for k in range(60)) + "]}", f"电话{phone}。" + "日本語" * 200]
+    got = added(spark, field, texts)
+    assert got == [[("crf_phone", phone)], [("crf_phone", phone)] * 60, [("crf_phone", phone)]]
+
+
+def test_numbers_that_fail_the_check_digit_are_no_cards(spark, field):
+    rng = random.Random(3)
+    numbers = ["".join(rng.choice("0123456789") for _ in range(16)) for _ in range(200)]
+    texts = [f"the {n} of that" for n in numbers if not pii.luhn(n)]
+    assert sum(map(len, added(spark, field, texts))) <= 0.02 * len(texts)
+
+
+def test_messages_settle(field):
+    """A long chain of resembling tokens: one more round would move nothing."""
+    graph = pii.Graph()
+    graph.document([(f"ab{k:04d}.{k}@x{k}.example.com" if k % 7 == 0 else f"{k % 50}555{k:04d}", "the", k % 2 == 0, "") for k in range(3000)])
+    arrays = graph.arrays()
+    before = field.marginals(*arrays)
+    tight = pii.SETTLED
+    try:
+        pii.SETTLED = tight / 1000
+        assert np.abs(field.marginals(*arrays) - before).max() < 0.01
+    finally:
+        pii.SETTLED = tight
+
+
+def test_personal_data_model_on_held_out_samples(field):
     samples = pii.labelled_samples(300, seed=99)
     graph = pii.Graph()
-    for s in samples:
-        graph.document([p[:3] for p in s])
+    nodes = [graph.document([p for p, _ in s]) for s in samples]
     got = field.marginals(*graph.arrays()).argmax(axis=1)
-    assert (got == np.array([p[3] for s in samples for p in s])).mean() > 0.92
+    hits = [got[n] == label for own, s in zip(nodes, samples) for n, (_, label) in zip(own, s)]
+    assert np.mean(hits) > 0.92
 
 
 # 6

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.sources.settled import release, settle
 
@@ -27,6 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hot(counted: DataFrame, total: int) -> DataFrame:
+    """The keys of counted, each with its n rows of total, that hold too many for one task: 10,000 at most, so they can be broadcast."""
+    return F.broadcast(counted.where(F.col("n") > max(100, total // 10_000)))
+
+
+def hot_join(rows: DataFrame, told: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with told, which has each key once with its n, the key's rows of total; a key of very many rows is not shuffled."""
+    most = max(100, total // 10_000)
+    some = told.where(F.col("n") <= most)
+    here = rows.join(hot(told, total), keys)
+    apart = rows.join(hot(told.select(*keys, "n"), total).select(*keys), keys, "left_anti").join(some, keys)
+    return here.drop("n").unionByName(apart.drop("n"))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts have about limit bytes together."""
     for batch in batches:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import settle
+from lodestone.llm.common import hot_join, settle
 
 #: Edges that one union-find holds at a time.
 FOREST_EDGES = 500_000
@@ -49,8 +49,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) edges of longs -> (u, v): each node that is not the smallest of its component, and that smallest node.
 
-    Every round is two star operations as joins, so a node with very many neighbours is
-    never gathered in one place; rounds go on until the edges no longer change.
+    Every round is two star operations as joins; the neighbours of a node with very many are
+    never gathered in one task (common.hot_join). Rounds go on until the edges no longer change.
     """
     edges = edges.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).where("u <> v")
     stars = settle(edges.mapInArrow(_forest, "u bigint, v bigint").distinct(), "edges")
@@ -61,8 +61,9 @@ def components(edges: DataFrame) -> DataFrame:
             return stars
         seen = mark
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = hot_join(both, settle(least, "least"), ["u"], 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = settle(large, "edges")
+        low = settle(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = hot_join(large, low, ["u"], 2 * mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         stars = settle(small.distinct(), "edges")

@@ -1,7 +1,8 @@
 """Near-duplicate grouping: SuperMinHash signatures, banding, verification on full sets, union-find.
 
 A document's set holds its distinct 3-word shingles as 64-bit hashes. Documents with
-equal sets are one class, whose smallest document stands for it. SuperMinHash gives each
+equal sets (by size and a 128-bit digest of the whole set) are one class, whose smallest
+document stands for it. SuperMinHash gives each
 element one rank per level, at the places of a random permutation of the element, so
 that places are correlated and the signature varies less than with independent hashes;
 it stops at the level at which all places are filled.
@@ -16,21 +17,27 @@ largest component need comparing with the others only. Two blocks at a time are
 on full sets. So no pair that shares a bucket is left undecided, a large group of copies
 costs one comparison a member, and no task holds more than two blocks.
 
-Two sets at a similarity of 0.85 share no band with probability (1 - 0.85^5)^32 < 1e-8.
+Two sets at the threshold share no band with probability under MISSED. Keys that hold very
+many rows (large groups of copies) are split: their rows stay where they are and meet the
+few hot keys, or are dealt to parts of a key that each hold PART rows.
 
 Defined results: a null or empty text has an empty set, no links, and is its own
 component; fewer than three words make one shingle; repeated doc_ids are one document
-for links (rows stay); rows with a null doc_id are kept and linked with nothing.
+for links (rows stay), linked through any of its texts; rows with a null doc_id are kept
+and linked with nothing. Ids are whole numbers.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import common
 from lodestone.llm.components import components
@@ -39,15 +46,28 @@ from lodestone.llm.components import components
 QUERY_WORDS, PIPELINE_WORDS = 3, 5
 #: Per cent of the union that a link needs, for the same.
 QUERY_PERCENT, PIPELINE_PERCENT = 85, 80
-BANDS = 32
-#: Places of a band; fewer for a lower similarity, so that a pair is missed as rarely.
-ROWS = {85: 5, 80: 4}
+#: Bands where they suffice, and how likely a pair at the threshold may share none.
+BANDS, MISSED = 32, 1e-7
+#: Pairs of one leader that are compared in one task.
+PART = 1000
 #: Members of a block and shingles that they have together, about, and columns of the table that two blocks are compared on at a time.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 128, 100_000, 4096
 #: Elements whose permutations are held at a time: 16 MB.
 ELEMENTS = 100_000
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and places of each: as many places as keep missed pairs rare; more bands where one place is too many."""
+    like = percent / 100
+    for rows in range(7, 0, -1):
+        if (1 - like**rows) ** BANDS < MISSED:
+            return BANDS, rows
+    bands = math.ceil(math.log(MISSED) / math.log(1 - like))
+    if bands > 255:
+        raise ValueError(f"a similarity of {percent} per cent is too low for signatures")
+    return bands, 1
+
+
 def shingles(hashes: np.ndarray, owner: np.ndarray, rows: int, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each run of words (of all words, where a text has fewer), and where each text's begin."""
     first = np.searchsorted(owner, np.arange(rows + 1))
@@ -108,7 +128,7 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
 
 
 _MARKS = "id bigint, n_shingles bigint, one bigint, two bigint, bands array<bigint>"
-_SETS = "id bigint, n_shingles bigint, shingles array<bigint>"
+_SETS = "id bigint, one bigint, n_shingles bigint, shingles array<bigint>"
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,38 +140,46 @@ def _sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
 
 
-def _marks(batches: Iterator[pa.RecordBatch], words: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """Of each text: its set's size, 128 bits that equal sets share, and its bands."""
+def _digests(flat: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """128 bits of each whole set, as two numbers."""
+    raw = memoryview(np.ascontiguousarray(flat, "<u8").tobytes())
+    return np.frombuffer(b"".join(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())), "<i8").reshape(-1, 2)
+
+
+def _marks(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Of each text: its set's size, the digest that equal sets share, and its bands."""
     for batch in common.chunks(batches):
         flat, cuts = _sets(batch, words)
         sizes = np.diff(cuts)
-        sums = []
-        with np.errstate(over="ignore"):
-            for salt in (7, 0xABCDEF):
-                total = np.concatenate([[0], np.cumsum(common.mix(flat ^ np.uint64(salt)), dtype=np.uint64)]).astype(np.uint64)
-                sums.append((total[cuts[1:]] - total[cuts[:-1]]).view(np.int64))
-        keys = np.empty((batch.num_rows, BANDS), np.int64)
+        one, two = _digests(flat, cuts).T.copy()
+        keys = np.empty((batch.num_rows, bands), np.int64)
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + ELEMENTS, side="right")) - 1)
-            keys[at:to] = band_keys(super_minhash(flat[cuts[at] : cuts[to]], cuts[at : to + 1] - cuts[at], BANDS * rows), rows)
+            keys[at:to] = band_keys(super_minhash(flat[cuts[at] : cuts[to]], cuts[at : to + 1] - cuts[at], bands * rows), rows)
             at = to
-        held = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
-        bands = pa.ListArray.from_arrays(pa.array(held), pa.array(keys[sizes > 0].ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), *map(pa.array, sums), bands], names=["id", "n_shingles", "one", "two", "bands"])
+        held = np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(held), pa.array(keys[sizes > 0].ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(one), pa.array(two), lists], names=["id", "n_shingles", "one", "two", "bands"])
 
 
 def _members(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in common.chunks(batches):
         flat, cuts = _sets(batch, words)
         lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(cuts)), lists], names=["id", "n_shingles", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(_digests(flat, cuts)[:, 0]), pa.array(np.diff(cuts)), lists], names=["id", "one", "n_shingles", "shingles"])
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) -> a, b, ok, far, d, weight of a: whether they are linked, too far to share links, and their distance (a lower bound if sizes alone tell)."""
-    one, two = (sets.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
-    both = pairs.join(one, "a").join(two, "b")
+    """(a, b) classes -> a, b, ok, far, d, weight of a: whether they are linked, too far to share links, and their distance (a lower bound if sizes alone tell)."""
+    pairs = common.settle(pairs, "pairs")
+    total = pairs.count()
+    # a leader of very many is dealt to parts of PART pairs, each with its set
+    many = common.hot(common.settle(pairs.groupBy("b").agg(F.count("*").alias("n")), "leaders"), total).withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).drop("n")
+    dealt = pairs.join(many, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    one, two = (sets.select(F.struct("id", "one").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
+    two = two.join(many, "b", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    both = dealt.join(one, "a").join(two, ["b", "part"])
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     shared = F.when(least * 100 >= most * percent, F.size(F.array_intersect("s_a", "s_b")).cast("bigint"))
     union = F.col("n_a") + F.col("n_b") - F.col("shared")
@@ -202,24 +230,23 @@ def _block_links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
 
-def _links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links, as edges (u, v), that give the components of the classes that meet in buckets (key, id)."""
+def _links(entries: DataFrame, leads: DataFrame, total: int, sets: DataFrame, percent: int) -> DataFrame:
+    """Links, as edges (u, v) of ids, that give the components of the classes (id, one) that meet in buckets: entries (key, c), leads (key, b, n), total entries."""
     reach = 1 - percent / 100
-    lead = entries.groupBy("key").agg(F.min("id").alias("b"))
-    met = common.settle(entries.join(lead, "key").where("id <> b").select("key", F.col("id").alias("a"), "b"), "met")
+    met = common.settle(common.hot_join(entries, leads, ["key"], total).where("c <> b").select("key", F.col("c").alias("a"), "b"), "met")
     told = common.settle(_compare(met.select("a", "b").distinct(), sets, percent), "told")
     common.release(sets.sparkSession)
-    edges = told.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    rows = met.join(told, ["a", "b"])
+    edges = told.where("ok").select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    rows = common.settle(met.join(told, ["a", "b"]).select("key", F.col("a").alias("c"), "weight", "ok", "far", "d"), "decided")
     left = rows.groupBy("key").agg(F.count_if(~F.col("ok")).alias("n_open"), F.min(F.when(~F.col("ok") & ~F.col("far"), F.col("d"))).alias("border"), F.count("*").alias("n"))
-    left = left.where("n > 1 and (n_open > 1 or (border is not null and n > n_open))").select("key", "border")
-    rest = rows.join(left, "key").where(~F.col("ok") | (F.col("d") >= F.col("border") - reach - 1e-9)).select("key", F.col("a").alias("id"), "weight")
+    left = common.settle(left.where("n > 1 and (n_open > 1 or (border is not null and n > n_open))").select("key", "border", "n"), "left")
+    rest = common.hot_join(rows, left, ["key"], total).where(~F.col("ok") | (F.col("d") >= F.col("border") - reach - 1e-9)).select("key", "c", F.col("c.id").alias("id"), "weight")
     rest = common.settle(rest, "rest")
     if rest.isEmpty():
         return edges
     roots = components(edges)
-    rest = rest.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = common.settle(rest.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark")), "sizes")
+    rest = common.settle(rest.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id")), "rest")
+    sizes = common.settle(rest.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("mark")), "sizes")
     # of buckets with the same members one is enough, and one component needs no more links
     split = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root", "weight")).alias("main"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.sum("mark").alias("mark")).where("roots > 1")
     once = split.groupBy("mark", "n").agg(F.min(F.struct("key", "main", "weight")).alias("x"))
@@ -228,44 +255,48 @@ def _links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return F.ceil(F.greatest(n / BLOCK, weight / BLOCK_SHINGLES)).cast("int")
 
     main = F.col("x.main")
-    once = once.select("x.key", main["root"].alias("main_root"), blocks(main["n"], main["weight"]).alias("main_blocks"), blocks(F.col("n") - main["n"], F.col("x.weight") - main["weight"]).alias("open_blocks"))
+    once = once.select("x.key", "n", main["root"].alias("main_root"), blocks(main["n"], main["weight"]).alias("main_blocks"), blocks(F.col("n") - main["n"], F.col("x.weight") - main["weight"]).alias("open_blocks"))
     once = common.settle(once, "buckets")
-    members = rest.join(once, "key").withColumn("main", F.col("root") == F.col("main_root"))
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("main_blocks")).otherwise(F.col("open_blocks"))).cast("int")
+    members = common.hot_join(rest, once, ["key"], total).withColumn("main", F.col("root") == F.col("main_root"))
+    own = F.pmod(F.xxhash64("c"), F.when(F.col("main"), F.col("main_blocks")).otherwise(F.col("open_blocks"))).cast("int")
     # blocks of open members meet each other, and each of the largest component's; the first of either kind meet in one
     open_to = F.transform(F.sequence(F.lit(0), F.col("open_blocks") - 1), lambda j: F.concat_ws("-", F.least(j, F.col("own")), F.greatest(j, F.col("own"))))
     open_to = F.concat(open_to, F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1), lambda j: F.concat_ws("-", F.col("own"), F.concat(F.lit("m"), j))))
     main_to = F.transform(F.sequence(F.lit(0), F.col("open_blocks") - 1), lambda j: F.concat_ws("-", j, F.concat(F.lit("m"), F.col("own"))))
     alone = (F.col("main_blocks") == 1) & (F.col("open_blocks") == 1)
     meets = F.when(alone, F.array(F.lit(""))).when(F.col("main"), main_to).otherwise(open_to)
-    members = members.withColumn("own", own).select("key", "id", "root", "main", F.explode(meets).alias("place"))
-    members = members.join(sets.select("id", "shingles"), "id")
+    members = members.withColumn("own", own).select("key", "c", "id", "root", "main", F.explode(meets).alias("place"))
+    members = members.join(sets.select(F.struct("id", "one").alias("c"), "shingles"), "c").drop("c")
     found = members.groupBy("key", "place").applyInArrow(lambda t: _block_links(t, percent), "u bigint, v bigint")
     return edges.union(common.settle(found, "links"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", words: int = QUERY_WORDS, percent: int = QUERY_PERCENT) -> DataFrame:
-    """id_col, n_shingles, component_id, kept for each row of docs."""
-    rows = ROWS[percent]
+    """id_col, n_shingles, component_id, kept for each row of docs; of a repeated id every row, with its own set's size."""
+    bands, rows = banding(percent)
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} has to be a whole number")
     spark = docs.sparkSession
-    made = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    marks = common.settle(made.mapInArrow(lambda it: _marks(it, words, rows), _MARKS), "marks")
+    made = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    marks = common.settle(made.mapInArrow(lambda it: _marks(it, words, bands, rows), _MARKS), "marks")
     some = marks.where("id is not null and n_shingles > 0")
     same = ["one", "two", "n_shingles"]
-    classes = common.settle(some.groupBy(*same).agg(F.min("id").alias("rep")), "classes")
-    first = some.join(classes.withColumnRenamed("rep", "id"), [*same, "id"], "left_semi")
-    entries = common.settle(first.select("id", F.explode("bands").alias("key")), "entries")
-    shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    entries = common.settle(entries.join(shared, "key", "left_semi"), "entries")
+    total = some.count()
+    classes = common.settle(some.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+    first = some.groupBy("id", *same).agg(F.first("bands").alias("bands")).join(classes.select(*same, F.col("rep").alias("id")), [*same, "id"], "left_semi")
+    entries = common.settle(first.select(F.struct("id", "one").alias("c"), F.explode("bands").alias("key")), "entries")
+    leads = common.settle(entries.groupBy("key").agg(F.min("c").alias("b"), F.count("*").alias("n")).where("n > 1"), "leads")
+    met = entries.count()
     common.release(spark)
     # whole sets only of those that meet another; planned alike at every size
-    meeting = common.settle(entries.select(F.col("id").alias("meeting")).distinct(), "meeting")
-    texts = made.hint("merge").join(meeting.hint("merge"), F.col("id") == F.col("meeting"), "left_semi").dropDuplicates(["id"])
-    met = common.settle(texts.mapInArrow(lambda it: _members(it, words), _SETS), "sets")
+    meeting = common.settle(common.hot_join(entries, leads, ["key"], met).select("c").distinct(), "meeting")
+    texts = made.hint("merge").join(meeting.select(F.col("c.id").alias("meeting")).distinct().hint("merge"), F.col("id") == F.col("meeting"), "left_semi")
+    sets = texts.mapInArrow(lambda it: _members(it, words), _SETS)
+    sets = common.settle(sets.join(meeting.select("c.id", "c.one").hint("merge"), ["id", "one"], "left_semi").dropDuplicates(["id", "one"]), "sets")
     common.release(spark)
-    links = _links(entries, met, percent)
-    # a repeated id with unlike texts joins its classes
-    again = some.join(classes, same).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
+    links = _links(entries, leads, met, sets, percent)
+    # a document joins the classes of all its texts
+    again = common.hot_join(some.select("id", *same), classes, same, total).where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
     roots = components(links.union(again))
     common.release(spark)
     out = marks.select("id", "n_shingles").join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
@@ -274,13 +305,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", words: int = QUERY_WORDS, pe
 
 
 def deduplicate(docs: DataFrame, words: int = PIPELINE_WORDS, percent: int = PIPELINE_PERCENT) -> DataFrame:
-    """docs with the smallest document of each group and all its columns; repeated rows of a doc_id become one."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    """docs with the smallest document of each group and all its columns; rows of one doc_id and text become one.
+
+    Rows with a null doc_id stay, as do rows of the doc_id that is kept with another text: they are parts of one document.
+    """
     told = groups(docs, "doc_id", words, percent).where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("stays"), F.count("*").alias("times"))
-    told = common.settle(told.where("not stays or times > 1").select(F.col("doc_id").alias("told_id"), "stays", "times"), "told")
-    left = docs.join(told.where("not stays"), docs["doc_id"] == F.col("told_id"), "left_anti").select(*columns)
-    again = told.where("stays and times > 1")
+    told = common.settle(told.where("not stays or times > 1").select(F.col("doc_id").cast("bigint").alias("id"), "stays", "times"), "told")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.col("text").alias("text"))
+    left = whole.join(told.where("not stays").select("id"), "id", "left_anti")
+    again = told.where("stays and times > 1").select("id")
     if again.isEmpty():
-        return left
-    once = left.join(again, left["doc_id"] == F.col("told_id"), "left_anti").select(*columns)
-    return once.union(left.join(again, left["doc_id"] == F.col("told_id"), "left_semi").select(*columns).dropDuplicates(["doc_id"]))
+        return left.select("row.*")
+    once = left.join(again, "id", "left_anti").select("row.*")
+    return once.union(left.join(again, "id", "left_semi").dropDuplicates(["id", "text"]).select("row.*"))

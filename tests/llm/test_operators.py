@@ -257,6 +257,65 @@ def test_deduplicate_keeps_one_of_each_group(docs):
     assert sorted(i for i in ids if i is not None) == sorted(i for i, (_, r) in want.items() if i == r) and None in ids
 
 
+def near_brute_rows(rows, words, percent):
+    """Components where a document has several texts: it is linked through any of them."""
+    sets = [(i, shingle_set(t, words)) for i, t in rows if i is not None]
+    edges = {(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[:k] if a and b and 100 * len(a & b) >= percent * len(a | b)}
+    root = {i: i for i, _ in sets}
+    while True:
+        new = dict(root)
+        for i, j in edges:
+            new[i] = new[j] = min(new[i], new[j])
+        if new == root:
+            return root
+        root = new
+
+
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_repeated_ids_with_unlike_texts_lose_no_link(spark, partitions):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " less"), (4, c), (5, c + " x"), (5, b + " y"), (6, text()), (1, a), (7, None), (7, text())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    want = near_brute_rows(rows, 3, 85)
+    got = neardup.groups(docs).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] for r in got)
+    kept = sorted((r.doc_id, r.text or "") for r in neardup.deduplicate(docs.withColumn("told_id", F.lit(1)).withColumn("id", F.lit(2)), 3, 85).collect())
+    assert kept == sorted({(i, t or "") for i, t in rows if want[i] == i})
+
+
+def test_large_groups_of_copies_are_split(spark, monkeypatch):
+    """One hot class of near copies: leaders and stars over the bound for one task."""
+    monkeypatch.setattr(neardup, "PART", 40)
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for k in range(300):
+        v = list(words)
+        v[rng.randrange(60)] = f"x{k}"
+        rows.append((k, " ".join(v)))
+    rows += [(1000 + k, " ".join(words)) for k in range(300)]
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 600 and {r.component_id for r in got} == {0}
+
+
+def test_banding_for_any_threshold(spark):
+    assert neardup.banding(85) == (32, 5) and neardup.banding(80) == (32, 4)
+    for percent in range(10, 101):
+        bands, rows = neardup.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= neardup.MISSED * 1.0001 and bands * rows <= 255
+    with pytest.raises(ValueError):
+        neardup.banding(1)
+    with pytest.raises(TypeError):
+        neardup.groups(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    rows = [(k, " ".join(base[: 20 + k])) for k in range(20)]
+    want = near_brute(rows, 2, 60)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), words=2, percent=60).collect()} == want
+
+
 def test_near_duplicates_of_an_empty_table(docs):
     assert neardup.groups(empty(docs)).count() == 0
 

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import common
 
@@ -36,8 +37,12 @@ BLOCK = frozenset(
     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 PARAGRAPH = frozenset("p pre td blockquote li dd div section article main body h1 h2 h3 h4 h5 h6 figcaption".split())
+#: What an element's start ends without its end tag; and where the search for such an element stops.
 CLOSED_BY = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+CLOSERS = frozenset().union(*CLOSED_BY.values())
+#: End tags of elements inside these don't reach out, but for blocks'.
+BARRIERS = frozenset(("table", "td", "th"))
 UNLIKELY = frozenset(
     "ad ads adv advert adverts advertisement advertisements banner banners breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer "
     "discussion disqus footer footers gdpr header headers legal masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo "
@@ -49,22 +54,26 @@ TEXTUAL = frozenset("p pre li dt dd td th blockquote figcaption h1 h2 h3 h4 h5 h
 PARAGRAPH_CHARS = 80
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert dialog form".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "points", "length", "linked", "own", "dropped", "_cut")
+    __slots__ = ("tag", "attributes", "parent", "depth", "children", "points", "length", "linked", "own", "dropped", "total", "in_links", "flow", "longest", "_cut", "_within", "_in_article")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         self.tag, self.attributes, self.parent = tag, attributes, parent
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.children: list[Node | str] = []
         self.points, self.length, self.linked = 0.0, 0, 0
         self.own = 0.0  # points of its own paragraphs
         self.dropped = False
+        self.total = self.in_links = self.flow = self.longest = 0
         self._cut: bool | None = None
+        self._within: bool | None = None
+        self._in_article: bool | None = None
 
     def likely(self) -> bool:
         return self.tag in ("article", "main") or bool(LIKELY & self.names()[0])
@@ -97,12 +106,9 @@ class Node:
             return True
         if self.tag in ("html", "body", "article", "main"):
             return False
-        if self.tag == "header":  # an article's own heading is part of it
-            up = self.parent
-            while up is not None and up.tag not in ("article", "main"):
-                up = up.parent
-            if up is None:
-                return True
+        # an article's own heading is part of it
+        if self.tag == "header" and not (self.parent is not None and self.parent.in_article()):
+            return True
         if not self.attributes.strip():
             return False
         words, hidden = self.names()
@@ -113,46 +119,112 @@ class Node:
             return False
         if self.tag not in BLOCK and self.parent is not None and self.parent.tag in TEXTUAL:
             return False
-        if unlikely <= {"header", "headers"} and self.of_article(words):
+        if unlikely <= {"header", "headers"} and (words & LIKELY or self.parent is not None and self.parent.within()):
             return False
-        return self.unlike_text()
-
-    def of_article(self, words: set[str]) -> bool:
-        if words & LIKELY:
-            return True
-        up = self.parent
-        while up is not None and up.tag not in ("body", "html"):
-            if up.likely():
-                return True
+        # a class word alone cuts no text: links make up a third of it, or no paragraph is in it
+        return self.longest < PARAGRAPH_CHARS or self.in_links * 3 > self.total
+
+    def in_article(self) -> bool:
+        """Whether this or an element around it is an article or main element."""
+        return self._up("_in_article", lambda n: n.tag in ("article", "main"), lambda n: False)
+
+    def within(self) -> bool:
+        """Whether this or an element around it, below the body, is likely an article's."""
+        return self._up("_within", Node.likely, lambda n: n.tag in ("body", "html"))
+
+    def _up(self, kept: str, yes, no) -> bool:
+        line: list[Node] = []
+        up: Node | None = self
+        while up is not None and getattr(up, kept) is None:
+            line.append(up)
             up = up.parent
-        return False
-
-    def unlike_text(self) -> bool:
-        """Whether links make up a third of the text, or no paragraph is in it."""
-        total = linked = longest = 0
-        stack: list[tuple[Node, bool, list[int]]] = [(self, False, [0])]
-        while stack:
-            here, in_link, run = stack.pop()
-            in_link |= here.tag == "a"
-            for c in here.children:
-                if isinstance(c, str):
-                    n = len(c.strip())
-                    total += n
-                    linked += n if in_link else 0
-                    run[0] += n
-                    longest = max(longest, run[0])
-                elif c.tag not in CUT:
-                    # text counts to the block it is in
-                    stack.append((c, in_link, [0] if c.tag in BLOCK else run))
-        return longest < PARAGRAPH_CHARS or linked * 3 > total
+        told = up is not None and getattr(up, kept)
+        for n in reversed(line):
+            told = not no(n) and (told or yes(n))
+            setattr(n, kept, told)
+        return bool(told)
+
+
+def weigh(root: Node) -> None:
+    """Fills in, for each element: characters of text, of links, of its own flow of text, and of the longest flow in it; less what its tag cuts."""
+    order, stack = [], [root]
+    while stack:
+        here = stack.pop()
+        order.append(here)
+        stack += [c for c in here.children if not isinstance(c, str) and c.tag not in CUT]
+    for here in reversed(order):
+        for c in here.children:
+            if isinstance(c, str):
+                n = len(c.strip())
+                here.total += n
+                here.flow += n
+            elif c.tag not in CUT:
+                here.total += c.total
+                here.in_links += c.in_links
+                here.longest = max(here.longest, c.longest)
+                if c.tag not in BLOCK:
+                    here.flow += c.flow
+        here.longest = max(here.longest, here.flow)
+        if here.tag == "a":
+            here.in_links = here.total
+
+
+class _Open:
+    """The open elements, with the places of those of each name, of barriers, and of those that implied end tags look at."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.named: dict[str, list[int]] = {}
+        self.barriers: list[int] = []
+        self.solid: list[int] = []
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.named.setdefault(node.tag, []).append(at)
+        if node.tag in BARRIERS:
+            self.barriers.append(at)
+        if node.tag in BLOCK or node.tag in CLOSED_BY or node.tag == "button":
+            self.solid.append(at)
+
+    def close(self, at: int) -> None:
+        """Ends all elements from this place on."""
+        while len(self.stack) > at:
+            self.named[self.stack.pop().tag].pop()
+        for own in (self.barriers, self.solid):
+            while own and own[-1] >= at:
+                own.pop()
+
+    def end(self, tag: str) -> bool:
+        """An end tag; whether an element was open for it."""
+        own = self.named.get(tag)
+        if not own or tag not in BLOCK and tag not in BARRIERS and self.barriers and self.barriers[-1] > own[-1]:
+            return False
+        self.close(own[-1])
+        return True
+
+    def start(self, tag: str) -> None:
+        """Ends the nearest open element that this one's start closes, within its scope."""
+        if tag not in CLOSERS:
+            return
+        for at in reversed(self.solid):
+            name = self.stack[at].tag
+            if tag in CLOSED_BY.get(name, ()):
+                self.close(at)
+                return
+            if name in SCOPE.get(tag, ()) or name in BLOCK and name not in CLOSED_BY or name in ("td", "th", "li", "dd", "button"):
+                return
 
 
 def parse(source: str) -> Node:
+    """A tree of the page in time that follows its length, whatever its tags."""
     root = Node("#root", "", None)
-    top = root
+    open_ = _Open(root)
     at = 0
+    section_end = -1
     while True:
         m = _TAG.search(source, at)
+        top = open_.stack[-1]
         if m is None:
             if at < len(source):
                 top.children.append(source[at:])
@@ -161,38 +233,31 @@ def parse(source: str) -> Node:
             top.children.append(source[at : m.start()])
         at = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                top.children.append(m[0][9:-3].replace("&", "&amp;"))
+            if m[0] == "<![CDATA[":
+                if section_end < at:
+                    found = source.find("]]>", at)
+                    section_end = found if found >= 0 else len(source)
+                top.children.append(source[at:section_end].replace("&", "&amp;"))
+                at = min(section_end + 3, len(source))
             continue
         tag = m[2].lower()
         if m[1]:
-            up: Node | None = top
-            while up is not None and up.tag != tag:
-                up = None if up.tag in ("table", "td", "th") and tag not in BLOCK else up.parent
-            if up is not None and up.parent is not None:
-                top = up.parent
-            elif tag == "p":
+            if not open_.end(tag) and tag == "p":
                 top.children.append(Node("p", "", top))
             continue
-        # implied end tags: the nearest open element that this one closes, within its scope
-        up = top
-        while up is not None and up.parent is not None:
-            if tag in CLOSED_BY.get(up.tag, ()):
-                top = up.parent
-                break
-            if up.tag in SCOPE.get(tag, ()) or up.tag in BLOCK and up.tag not in CLOSED_BY or up.tag in ("td", "th", "li", "dd", "button"):
-                break
-            up = up.parent
+        open_.start(tag)
+        top = open_.stack[-1]
         node = Node(tag, m[3] or "", top)
         top.children.append(node)
-        if tag in VOID or source[m.end() - 2] == "/" and tag not in BLOCK:
+        # a slash before the end of a tag means nothing in HTML
+        if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
             node.children.append(source[at : end.start() if end else len(source)])
             at = end.end() if end else len(source)
             continue
-        top = node
+        open_.push(node)
 
 
 def blocks(node: Node) -> list[str]:
@@ -280,6 +345,7 @@ def extract(source: str | None) -> str:
     if not source:
         return ""
     root = parse(source)
+    weigh(root)
     scored = measure(root)
     if not scored:
         return "\n\n".join(blocks(root))
@@ -295,14 +361,20 @@ def extract(source: str | None) -> str:
         return "\n\n".join(blocks(best))
     least = max(10.0, 0.2 * final_points(best))
     good = [best, *(n for n in scored if n.own * (1 - n.linked / max(n.length, 1)) >= least)]
-    lines = [_line(n) for n in good]
     # the parent, or whatever higher element is around all that score well
-    depth = min(len(lines[0]) - 1, *(len(x) for x in lines))
-    while any(x[:depth] != lines[0][:depth] for x in lines):
-        depth -= 1
-    spine = {id(n) for x in lines for n in x}
+    around = best.parent
+    spine: set[int] = set()
+    for n in good:
+        spine.add(id(n))
+        up = n.parent
+        while up is not None and id(up) not in spine:
+            spine.add(id(up))
+            up = up.parent
+        # all that was met before and is not within around is around it
+        if up is not None and up.depth < around.depth:
+            around = up
     inside = {id(n) for n in good}
-    stack = [lines[0][depth - 1]]
+    stack = [around]
     while stack:
         for c in stack.pop().children:
             if isinstance(c, str) or id(c) in inside:
@@ -311,15 +383,7 @@ def extract(source: str | None) -> str:
                 stack.append(c)
             elif c.tag in BLOCK and c.linked > 0.5 * c.length:
                 c.dropped = True
-    return "\n\n".join(blocks(lines[0][depth - 1]))
-
-
-def _line(node: Node) -> list[Node]:
-    """The node and all around it, outermost first."""
-    out = [node]
-    while out[-1].parent is not None:
-        out.append(out[-1].parent)
-    return out[::-1]
+    return "\n\n".join(blocks(around))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,6 +395,5 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
     made = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
-    return made.mapInArrow(_texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return made.mapInArrow(_texts, T.StructType([made.schema["page_id"], made.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

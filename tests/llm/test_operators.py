@@ -622,6 +622,31 @@ def test_main_text_keeps_short_parts_and_checks_class_words():
     assert got == clean(*[long] * 10)
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "layout no-sidebar", "content share-enabled", "page header-fixed", "wrap"])
+def test_class_words_around_the_article_cut_nothing(name):
+    text = "A sentence of the story, told at some length, with commas. " * 4
+    page = "<body><nav><a href=/>Home</a></nav><div class='%s'><h1>Head</h1>" % name + "".join(f"<p>{text}</p>" for _ in range(5)) + "</div><div class=sidebar><a href=/x>More</a></div></body>"
+    assert extract.extract(page) == "\n\n".join(["Head"] + [text.strip()] * 5)
+
+
+def test_slashes_before_the_end_of_a_tag_mean_nothing():
+    assert extract.extract('<p>one<script src="a.js"/>var x=1;</script> two') == "one two"
+    assert extract.extract("<div><p>Words of a <a href=/x/>link</a> and more.</p><br/><p>End</div>") == "Words of a link and more.\n\nEnd"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<?" * 500_000, "<div>" * 60_000 + "</zz>" * 60_000, "<b>" * 60_000 + "<p>x" * 60_000, "<![CDATA[>" * 100_000, "<div class=ad>" * 40_000 + "x" * 100, "<header>" * 60_000 + "x", "<b><table>" + "<div>" * 60_000 + "</b>" * 60_000]
+    + ["<div class=ad><p>" + "long text, " * 9 + "</p>" + "<div class=ad>" * 30_000 + "<p>" + "long text, " * 9, "".join("<div><p>" + "words, of text, " * 8 for _ in range(8000)), "<a \"" * 200_000, "<p a='" * 100_000],
+)
+def test_time_follows_the_length_of_a_page(page):
+    import time
+
+    started = time.perf_counter()
+    extract.extract(page)
+    assert time.perf_counter() - started < 4
+
+
 def test_main_text_of_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>x"), (4, "u", "plain &lt;b&gt; text"), (5, "u", "<html><body></body>"), (6, "u", "<div>" * 3000 + "deep"), (7, "u", "<<<p >a<b"), (7, "u", "<<<p >a<b")]
     got = extract.report(spark.createDataFrame(rows, "page_id long, url string, html string"))

@@ -8,9 +8,11 @@ one another on one diagonal make up the longest verbatim match.
 The array is sparse: a training suffix is left out only if no benchmark window begins
 with its first words, so nothing that a search could find is missing.
 
-The benchmark goes to the workers in blocks of at most BLOCK_BYTES of text. Each block
-is a further narrow pass that adds to what the passes before it found; documents are
-never shuffled.
+Suffixes are compared to the length of a window, and longer matches are put together
+from windows. The benchmark goes to the workers in blocks of about BLOCK_BYTES of text. Each
+block is a further narrow pass that adds to what the passes before it found; after
+BLOCKS_AT_ONCE of them the rows are settled and the blocks let go, so memory does not grow
+with the benchmark. Documents are never shuffled.
 
 Defined results: null or empty text has no words and no hit; a null item_id marks words
 but is not listed; repeated rows each get their own result; an empty benchmark hits
@@ -32,6 +34,8 @@ from lodestone.llm import common
 WINDOW = 10
 #: Benchmark text, in bytes, that one pass over the documents carries.
 BLOCK_BYTES = 2_000_000
+#: Blocks that workers hold at a time.
+BLOCKS_AT_ONCE = 4
 #: Words by which training suffixes are chosen for the array.
 LEAD = 3
 
@@ -236,10 +240,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window:
         F.lit(None).cast("array<string>").alias("items"),
         *([F.lit(None).cast(_MATCHES).alias("matches")] if matches else []),
     )
-    blocks = [spark.sparkContext.broadcast(Windows(b, window)) for b in _blocks(benchmark, block_bytes)]
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        out = out.mapInArrow(lambda it, block=block, last=last: _scan(it, block, matches, last), out.schema)
+    held = []
+    blocks = _blocks(benchmark, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        if len(held) == BLOCKS_AT_ONCE:
+            out = common.settle(out, "scanned")
+            for old in held:
+                old.destroy()
+            held = []
+        held.append(spark.sparkContext.broadcast(Windows(block, window)))
+        out = out.mapInArrow(lambda it, sent=held[-1], last=following is None: _scan(it, sent, matches, last), out.schema)
+        block = following
     return out.drop("text").withColumnRenamed("id", id_col)
 
 

@@ -1,9 +1,9 @@
 """Best-fit packing planned on a histogram of lengths.
 
 Pass one tokenizes every document once, cuts only those longer than a sequence, and
-numbers the pieces of each length within their input partition; it is settled, so that
-the numbers cannot change. A count by length and partition turns these numbers into ranks
-within length. The plan is best-fit decreasing over counts: groups of equal sequences are
+numbers the pieces of each length within their part (PART_PIECES of an input partition);
+it is settled, so that the numbers cannot change. A count by length and part turns these
+numbers into ranks within length, and each part meets its own counts only. The plan is best-fit decreasing over counts: groups of equal sequences are
 filled together, so its size follows the distinct lengths (at most LENGTH of them) and
 not the documents. Last, each piece takes the planned slot that has its length and rank.
 
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import common
 from lodestone.llm.tokenize import Encoder
@@ -30,29 +31,42 @@ from lodestone.llm.tokenize import Encoder
 LENGTH, END = 4096, 1
 #: Bytes of text that are encoded together; a longer run shares more of its words.
 CHUNK_BYTES = 1_000_000
-_PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
+#: Pieces of a part.
+PART_PIECES = 200_000
+_OF_PIECE = (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType()))
+
+
+def _schema(kind: T.DataType, *more: str) -> T.StructType:
+    return T.StructType([T.StructField("id", kind), *(T.StructField(*x) for x in _OF_PIECE), *(T.StructField(c, T.LongType()) for c in more)])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:
     encode = Encoder.of(path)
-    part = TaskContext.get().partitionId()
+    part = TaskContext.get().partitionId() << 32
+    in_part = 0
     tail = np.array([end], "<u4").tobytes()
     seen = np.zeros(size + 1, np.int64)
     for batch in common.chunks(batches, limit=CHUNK_BYTES):
         ids, cuts = encode(*common.text_bytes(batch.column("text")))
         raw = memoryview(ids.tobytes())
         out: list[tuple] = []
-        for i, a, b in zip(batch.column("id").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+        row: list[int] = []
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
             total = b - a + 1
             for k, at in enumerate(range(0, total, size)):
                 n = min(size, total - at)
                 crc = zlib.crc32(raw[4 * (a + at) : 4 * min(a + at + n, b)])
                 if at + n == total:
                     crc = zlib.crc32(tail, crc)
-                out.append((i, k, at, n, crc, part, int(seen[n])))
+                if in_part == PART_PIECES:
+                    part, in_part = part + 1, 0
+                    seen[:] = 0
+                row.append(i)
+                out.append((k, at, n, crc, part, int(seen[n])))
                 seen[n] += 1
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+                in_part += 1
+        kinds = (pa.int32(), *(pa.int64(),) * 5)
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=["id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
 
 class Plan:
@@ -112,35 +126,38 @@ def best_fit(counts: dict[int, int], size: int) -> Plan:
     return plan
 
 
-def _place(batches: Iterator[pa.RecordBatch], plan) -> Iterator[pa.RecordBatch]:
-    plan = plan.value
-    tables = {n: np.array(rows, np.int64).T for n, rows in plan.slots.items()}
-    for batch in batches:
-        length = batch.column("length").to_numpy()
-        rank = batch.column("rank").to_numpy()
-        sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-        for n in np.unique(length).tolist():
-            at = np.flatnonzero(length == n)
-            first, begin, each, base = tables[n]
-            k = np.searchsorted(first, rank[at], side="right") - 1
-            inside = rank[at] - first[k]
-            sequence[at] = begin[k] + inside // each[k]
-            offset[at] = base[k] + inside % each[k] * n
-        names = [n for n in batch.schema.names if n != "rank"]
-        yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
+def _place(pieces: pa.Table, before: pa.Table, plan) -> pa.Table:
+    """The pieces of one part in their planned places; before: pieces of each length in the parts before it."""
+    pieces = pieces.combine_chunks()
+    slots = plan.value.slots
+    length, rank = pieces["length"].to_numpy(), pieces["nth"].to_numpy()
+    earlier = dict(zip(before["length"].to_pylist(), before["before"].to_pylist()))
+    sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+    order = np.argsort(length, kind="stable")
+    cuts = np.flatnonzero(np.diff(length[order], prepend=-1))
+    for at in np.split(order, cuts[1:]) if len(order) else ():
+        n = int(length[at[0]])
+        first, begin, each, base = np.array(slots[n], np.int64).T
+        own = rank[at] + earlier[n]
+        k = np.searchsorted(first, own, side="right") - 1
+        inside = own - first[k]
+        sequence[at] = begin[k] + inside // each[k]
+        offset[at] = base[k] + inside % each[k] * n
+    out = pieces.select(["id", *(c for c, _ in _OF_PIECE)])
+    return out.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", size: int = LENGTH, end: int = END) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    made = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    pieces = common.settle(made.mapInArrow(lambda it: _pieces(it, tokenizer, size, end), _PIECES), "pieces")
-    # at most size rows a partition, which a window over one length adds up; then at most size rows in all
+    made = docs.select(F.col(f"`{id_col}`").alias("id"), F.col("text").cast("string").alias("text"))
+    kind = made.schema["id"].dataType
+    pieces = common.settle(made.mapInArrow(lambda it: _pieces(it, tokenizer, size, end), _schema(kind, "part", "nth")), "pieces")
+    # at most size rows a part, which a window over one length adds up; then at most size rows in all
     parts = common.settle(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"), "n")
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(best_fit(counts, size))
-    ranked = pieces.join(parts.drop("n"), ["length", "part"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
-    out = ranked.mapInArrow(lambda it: _place(it, plan), "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    parts = parts.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    out = pieces.groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(lambda a, b: _place(a, b, plan), _schema(kind, "sequence_id", "offset"))
     return out.withColumnRenamed("id", id_col)

@@ -9,7 +9,8 @@ scores all documents.
 
 Defined results: a null or empty text gets the vote of length alone; an empty table gives
 no rows; repeated rows are scored each; a corpus whose votes are all alike scores all
-documents at their posterior.
+documents at their posterior; a pattern of votes that training has not seen is scored by
+the fitted tables; rows with a null doc_id are counted and scored, but not sampled.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import common
 
@@ -27,8 +29,8 @@ HEURISTICS = ("capitals", "symbols", "bars", "shouting", "repeated_lines", "repe
 JUNK, NONE, CLEAN = 0, 1, 2
 #: Share of clean documents that a heuristic votes against at most.
 FALSE_ALARMS = 0.03
-#: Documents with the smallest hashes of id that the scorer is fitted on, and the characters that one may have.
-TRAINING_DOCUMENTS, TRAINING_CHARS = 6000, 12_000
+#: Documents with the smallest hashes of id that the scorer is fitted on, at most; of any length.
+TRAINING_DOCUMENTS = 6000
 SPACE = 1 << 16
 ROUNDS = 80
 
@@ -125,36 +127,44 @@ class Labeller:
     """
 
     def __init__(self, counts: dict[int, int], rounds: int = 300) -> None:
-        self.codes = np.array(sorted(counts), np.int64)
-        n = np.array([counts[c] for c in self.codes.tolist()], np.float64)
-        v = self.codes[:, None] // 3 ** np.arange(len(HEURISTICS)) % 3
-        hot = np.eye(3)[v]  # [pattern, heuristic, vote]
+        codes = np.array(sorted(counts), np.int64)
+        n = np.array([counts[c] for c in codes.tolist()], np.float64)
+        hot = self._evidence(codes)
         kinds = len(HEURISTICS) + 1
-        hot[:, :, NONE] = 0  # a heuristic that says nothing is no evidence
         prior = np.broadcast_to([0.2, 1e-9, 2.0], (kinds, len(HEURISTICS), 3)).copy()
         prior[1 + np.arange(len(HEURISTICS)), np.arange(len(HEURISTICS))] = [4.0, 1e-9, 0.2]
-        post = np.concatenate([np.full((len(n), 1), 0.1), v == JUNK], axis=1)  # [pattern, kind]
+        post = np.concatenate([np.full((len(n), 1), 0.1), hot[:, :, JUNK]], axis=1)  # [pattern, kind]
         post /= post.sum(axis=1, keepdims=True)
-        for _ in range(rounds if len(n) else 0):
+        for _ in range(rounds):
             weighed = post * n[:, None]
             share = (weighed.sum(axis=0) + 1) / (n.sum() + kinds)
             told = np.einsum("pk,phv->khv", weighed, hot) + prior
             told /= told.sum(axis=2, keepdims=True)
             told[0, :, JUNK] = np.minimum(told[0, :, JUNK], FALSE_ALARMS)
-            like = np.einsum("phv,khv->pk", hot, np.log(told)) + np.log(share)
-            new = np.exp(like - like.max(axis=1, keepdims=True))
-            new /= new.sum(axis=1, keepdims=True)
-            if np.abs(new - post).max() < 1e-9:
+            self.share, self.told = share, told
+            new = self._posterior(hot)
+            if not len(n) or np.abs(new - post).max() < 1e-9:
                 break
             post = new
-        self.posterior = post[:, 0]
-        self.accuracy = {}
-        if len(n):
-            junk = np.einsum("k,khv->hv", share[1:] / share[1:].sum(), told[1:])
-            self.accuracy = {h: (float(told[0, k, CLEAN] / (told[0, k, CLEAN] + told[0, k, JUNK])), float(junk[k, JUNK] / (junk[k, CLEAN] + junk[k, JUNK]))) for k, h in enumerate(HEURISTICS)}
+        junk = np.einsum("k,khv->hv", share[1:] / share[1:].sum(), told[1:])
+        self.accuracy = {h: (float(told[0, k, CLEAN] / (told[0, k, CLEAN] + told[0, k, JUNK])), float(junk[k, JUNK] / (junk[k, CLEAN] + junk[k, JUNK]))) for k, h in enumerate(HEURISTICS)}
+
+    @staticmethod
+    def _evidence(codes: np.ndarray) -> np.ndarray:
+        """[pattern, heuristic, vote]; a heuristic that says nothing is no evidence."""
+        hot = np.eye(3)[codes[:, None] // 3 ** np.arange(len(HEURISTICS)) % 3]
+        hot[:, :, NONE] = 0
+        return hot
+
+    def _posterior(self, hot: np.ndarray) -> np.ndarray:
+        like = np.einsum("phv,khv->pk", hot, np.log(self.told)) + np.log(self.share)
+        new = np.exp(like - like.max(axis=1, keepdims=True)) if len(like) else like
+        return new / new.sum(axis=1, keepdims=True)
 
     def __call__(self, v: np.ndarray) -> np.ndarray:
-        return self.posterior[np.searchsorted(self.codes, pattern(v))]
+        """The probability of a clean document, also for patterns that no document showed before."""
+        codes, which = np.unique(pattern(v), return_inverse=True)
+        return self._posterior(self._evidence(codes))[:, 0][which.ravel()]
 
 
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -231,31 +241,42 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
         )
 
 
+def _samples(batches: Iterator[pa.RecordBatch], labeller) -> Iterator[pa.RecordBatch]:
+    """Of each document its distinct features with their weights, and its weak label."""
+    for batch in common.chunks(batches):
+        data, offsets = common.text_bytes(batch.column("text"))
+        m = measures(data, offsets)
+        features, owner, weight = featurize(data, offsets, m)
+        both, which = np.unique(owner * np.int64(SPACE) + features, return_inverse=True)
+        total = np.bincount(which.ravel(), weight, len(both)).astype(np.float32)
+        cuts = np.searchsorted(both, np.arange(batch.num_rows + 1) * np.int64(SPACE))
+        feature = (both % SPACE).astype(np.int32)
+        packed = [[x[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())] for x in (feature, total)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.binary()) for x in packed), pa.array(labeller.value(votes(m)))], names=["id", "features", "weights", "label"])
+
+
 def train(docs: DataFrame) -> tuple[Labeller, Scorer]:
-    """EM over the votes of all documents, then the scorer on a bounded sample."""
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    """EM over the votes of all documents, then the scorer on a bounded sample of documents of any length; texts stay with the workers."""
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     counted = texts.select("text").mapInArrow(_patterns, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     labeller = Labeller({r.code: r.n for r in counted.collect()})
-    # ids are chosen first, so that no text is sorted to find the sample
-    short = texts.where(F.length("text") <= TRAINING_CHARS)
-    chosen = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_DOCUMENTS).distinct()
-    sample = short.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(TRAINING_DOCUMENTS).select("text").toArrow()
-    parts: list[list] = [[], [], [], []]
-    for at, part in common.slices(sample["text"].combine_chunks()):
-        data, offsets = common.text_bytes(part)
-        m = measures(data, offsets)
-        features, owner, weight = featurize(data, offsets, m)
-        for own, more in zip(parts, (features.astype(np.int32), (owner + at).astype(np.int32), weight.astype(np.float32), labeller(votes(m)))):
-            own.append(more)
-    return labeller, fit(*(np.concatenate(x) if x else np.empty(0) for x in parts))
+    # ids are chosen first, so that no text is sorted to find the sample; of a repeated id the least text counts
+    chosen = texts.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(TRAINING_DOCUMENTS)
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(labeller)
+    schema = T.StructType([sample.schema["id"], T.StructField("features", T.BinaryType()), T.StructField("weights", T.BinaryType()), T.StructField("label", T.DoubleType())])
+    bags = sample.mapInArrow(lambda it: _samples(it, shared), schema).toArrow().sort_by("id")
+    features = np.frombuffer(b"".join(bags["features"].to_pylist()), np.int32)
+    owner = np.repeat(np.arange(len(bags)), [len(x) // 4 for x in bags["features"].to_pylist()])
+    return labeller, fit(features, owner, np.frombuffer(b"".join(bags["weights"].to_pylist()), np.float32), bags["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: tuple[Labeller, Scorer], id_col: str = "doc_id") -> DataFrame:
     """id_col, n_votes, weak_label and score, both the probability of a clean text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
-    made = docs.select(id_col, F.col("text").cast("string").alias("text"))
-    return made.mapInArrow(lambda it: _score(it, shared), f"`{id_col}` {kind}, n_votes bigint, weak_label double, score double")
+    made = docs.select(F.col(f"`{id_col}`").alias("id"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([made.schema["id"], T.StructField("n_votes", T.LongType()), T.StructField("weak_label", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    return made.mapInArrow(lambda it: _score(it, shared), schema).withColumnRenamed("id", id_col)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def test_secret_spans(spark, secret_models):
 
 
 def test_secret_models_part_random_from_ordinary(spark, secret_models):
-    held = secrets.labelled_samples(spark, 3000).where("length(text) >= 20").select("label", (secrets._ratio_of(F.col("text"), secret_models.ratios) > secret_models.threshold).alias("hit"))
+    held = secrets.labelled_samples(spark, 3000, seed="held out").where("length(text) >= 20").select("label", (secrets._ratio_of(F.col("text"), secret_models.ratios) > secret_models.threshold).alias("hit"))
     share = {r.label: r.s for r in held.groupBy("label").agg(F.avg(F.col("hit").cast("int")).alias("s")).collect()}
     assert share[1] > 0.99 and share[0] < 0.01
 
@@ -126,6 +126,32 @@ def test_redaction_keeps_rows_and_columns(spark, secret_models):
     assert [out[k].n_chars for k in (1, 2, 3, 4)] == [12, None, 10, 5] and out[4]["odd.name"] == "_found"
 
 
+def test_random_parts_of_longer_strings(spark, secret_models):
+    texts = ["see /service/application/configuration/settings/default/production/user/account/qZ8vK2mP9xR4tW7yB3nC/settings/transaction/history", "key q7Zk2Vx9Lm4Rt8Wp end", "the thatthedtherthinganderea of internationalization", "a/long/path/of/plain/words/and/more-words-still"]
+    got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), secret_models).collect()}
+    at = texts[0].index("qZ8")
+    assert got == {0: f"markov:{at}:{at + 20}", 1: "markov:4:20", 2: "", 3: ""}
+
+
+def test_many_spans_and_overlaps(spark, secret_models):
+    """More spans than are gathered at once, and kinds that overlap: redaction covers what the spans do."""
+    rng = random.Random(7)
+    bits = ["token=" + "ab12cd34" * 4, "0123456789abcdef" * 2, "AKIA" + "B" * 20, " secret: " + "f" * 30 + "zz", " plain words ", "é🙂 "]
+    texts = [" ".join("token=abc%05d" % k for k in range(3000)), *("".join(rng.choice(bits) for _ in range(12)) for _ in range(40)), "password=" + "a1" * 20 + "AKIA" + "C" * 18]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in secrets.report(docs, secret_models).collect()}
+    assert found[0].n_assign == 3000
+    clean = {r.doc_id: r.text for r in secrets.redact(docs.withColumn("base", F.lit(1)).withColumn("row", F.lit(2)), secret_models).collect()}
+    for i, t in enumerate(texts):
+        spans = sorted(tuple(map(int, x.split(":")[1:])) for x in found[i].spans.split(",") if x)
+        out, at = "", 0
+        for s, e in spans:
+            if s >= at:
+                out += t[at:s] + "[SECRET]"
+            at = max(at, e)
+        assert clean[i] == out + t[at:], t
+
+
 def test_secrets_of_an_empty_table(docs, secret_models):
     assert secrets.report(empty(docs), secret_models).count() == 0
 
@@ -159,7 +185,8 @@ def leaks(spark, texts):
 
 
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 200])
-def test_contamination(docs, leaks, block):
+def test_contamination(docs, leaks, block, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 2)
     items, benchmark = leaks
     got = decontaminate.scan(docs, benchmark, block_bytes=block).collect()
     source = [(r.doc_id, r.text) for r in docs.collect()]
@@ -355,9 +382,11 @@ def test_ids_are_the_library_s(vocabulary):
         assert ids[a:b].tolist() == encode.library.encode(s or "", add_special_tokens=False).ids, s
 
 
-def test_packing_round_trip(docs, vocabulary):
+def test_packing_round_trip(docs, vocabulary, monkeypatch):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(packing, "PART_PIECES", 7)
+
     size = 256
     got = packing.pack(docs, vocabulary, size=size).collect()
     library = Tokenizer.from_file(vocabulary)
@@ -689,6 +718,18 @@ def test_quality_parts_junk_from_prose(spark):
     assert quality.report(docs.limit(0)).count() == 0
 
 
+def test_votes_that_no_training_document_showed(spark):
+    seen = np.full((5, len(quality.HEURISTICS)), quality.CLEAN)
+    labeller = quality.Labeller({int(quality.pattern(seen)[0]): 5})
+    fresh = np.array([[quality.JUNK] * len(quality.HEURISTICS), [quality.NONE] * len(quality.HEURISTICS)])
+    told = labeller(np.concatenate([fresh, seen]))
+    assert told[0] < 0.05 and told[2] > 0.9 and np.isfinite(told).all()
+    assert np.isfinite(quality.Labeller({})(fresh)).all()
+    model = quality.train(spark.createDataFrame([(1, "A plain text, of some words that say little.")], "doc_id long, text string"))
+    got = quality.score(spark.createDataFrame([("a", "||| ### !!!"), (None, None)], "`source-url` string, text string"), model, "source-url").collect()
+    assert len(got) == 2 and all(0 <= r.score <= 1 for r in got)
+
+
 # 9
 
 
@@ -800,6 +841,6 @@ def test_toxicity_without_labels(toxic_docs, spark):
     docs, labels = toxic_docs
     assert toxicity.report(docs, labels.limit(0)).where("score <> 0").count() == 0
     assert toxicity.report(docs.limit(0), labels).count() == 0
-    wide = docs.withColumn("score", F.lit(7)).withColumn("row", F.lit("x"))
+    wide = docs.withColumn("score", F.lit(7)).withColumn("row", F.lit("x")).withColumn("source-url", F.lit("u"))
     kept = toxicity.reject(wide, toxicity.train(docs, labels))
     assert kept.columns == wide.columns and 600 < kept.count() < 800

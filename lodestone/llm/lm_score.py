@@ -11,10 +11,8 @@ with one process. Their keys are dealt to parts whose number grows with the text
 3. The answers meet their block, and losses under both models are added up word by word.
    Bigrams fall back to the unigram by the Dirichlet prior, as do words in neither side.
 
-VOCABULARY and BIGRAMS, where set, cut to a share of the background instead: other words
-are one unknown word, and other bigrams fall back.
-
 The target is any set of documents; the query takes those labelled as of good quality.
+A text's own counts are left out of the models that score it, so that none is like itself.
 The score is the mean over words of the background's loss less the target's, in bits:
 higher is more like the target.
 
@@ -31,42 +29,38 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import common
 
-#: None keeps every word and bigram. A number cuts to the words (bigrams) that are one in so many of the background at least.
-VOCABULARY: int | None = None
-BIGRAMS: int | None = None
 #: Weight of the unigram model in a bigram's probability, in counts.
 PRIOR = 50.0
 #: Entries that a block holds before it adds them up.
-HELD = 1_500_000
+HELD = 400_000
 #: Bytes of text for each part of the models, and in a block.
-PART_BYTES, BLOCK_BYTES = 8_000_000, 8_000_000
-
-#: What stands for all words outside a cut vocabulary; word hashes are never 0.
-UNKNOWN = np.uint64(0)
+PART_BYTES, BLOCK_BYTES = 8_000_000, 6_000_000
 
 
-def _words(batch: pa.RecordBatch, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the words (even) and their texts; keys of the bigrams within texts (odd) and the places of their second words."""
     data, offsets = common.text_bytes(batch.column("text"))
     starts, ends, owner = common.find_words(data, offsets, common.ALNUM)
     words = common.word_hashes(data, starts, ends) & ~np.uint64(1)
-    if vocabulary is not None:
-        words[~_find(vocabulary, words)[1]] = UNKNOWN
     at = np.flatnonzero(owner[1:] == owner[:-1]) + 1
     with np.errstate(over="ignore"):
         pairs = common.mix(common.mix(words[at - 1]) + words[at]) | np.uint64(1)
     return words, owner, pairs, at
 
 
-def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of asked in the sorted keys, and which of them are there."""
-    if not len(keys):
-        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return place, keys[place] == asked
+def _own(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """How often each key is in its own text."""
+    order = np.lexsort([keys, owner])
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    run = np.cumsum(fresh) - 1
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.bincount(run)[run] if len(run) else 0
+    return out
 
 
 def _split(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -133,33 +127,31 @@ def _texts(body: bytes) -> Iterator[pa.RecordBatch]:
     yield from common.chunks(iter(pa.ipc.open_stream(body)))
 
 
-def _counted(body: bytes, vocabulary: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _counted(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sorted distinct keys of a block, and their counts in its texts of either side."""
     held: list[tuple[np.ndarray, ...]] = []
     for batch in _texts(body):
-        words, owner, pairs, at = _words(batch, vocabulary)
-        sides = []
-        for c in ("one", "two"):
-            own = batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[owner]
-            of_pair = own[at]
-            if vocabulary is not None:
-                of_pair = of_pair * ((words[at] != UNKNOWN) & (words[at - 1] != UNKNOWN))
-            sides.append(np.concatenate([own, of_pair]))
+        words, owner, pairs, at = _words(batch)
+        sides = [np.concatenate([own, own[at]]) for own in (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[owner] for c in ("one", "two"))]
         held.append(_added([(np.concatenate([words, pairs]), *sides)]))
         if sum(len(x[0]) for x in held) > HELD:
             held = [_added(held)]
     return _added(held)
 
 
-def _keys(body: bytes, vocabulary: np.ndarray | None) -> np.ndarray:
-    return np.unique(np.concatenate([np.unique(np.concatenate([w, p])) for w, _, p, _ in (_words(b, vocabulary) for b in _texts(body))]))
+def _keys(body: bytes) -> np.ndarray:
+    out = np.empty(0, np.uint64)
+    for batch in _texts(body):
+        words, _, pairs, _ = _words(batch)
+        out = np.union1d(out, np.concatenate([words, pairs]))
+    return out
 
 
-def _ask(batches: Iterator[pa.RecordBatch], parts: int, cut) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """The keys of each block by part, with what the block adds to their counts."""
     for batch in batches:
         for block, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
-            keys, m, n = _counted(body, cut.value if cut else None)
+            keys, m, n = _counted(body)
             rows = [(block, p, _pack_keys(keys[at]), _pack(m[at]), _pack(n[at])) for p, at in _split(keys, parts)]
             yield _rows(**{c: [r[k] for r in rows] for k, c in enumerate(("block", "part", "keys", "m", "n"))})
 
@@ -172,47 +164,42 @@ def _merge(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np
     return known, m, n, np.split(which, np.cumsum([len(k) for k in keys])[:-1])
 
 
-def _merged(asked: pa.Table) -> pa.Table:
-    """The words of one part and their counts in the background."""
-    keys, _, n, _ = _merge(asked)
-    word = keys & np.uint64(1) == 0
-    return pa.table({"key": keys[word].view(np.int64), "n": n[word]})
-
-
-_ANSWERS = "block bigint, part bigint, m binary, n binary, size bigint, words_m bigint, words_n bigint, pairs_n bigint"
+_ANSWERS = "block bigint, part bigint, m binary, n binary, size bigint, words_m bigint, words_n bigint"
 
 
 def _answer(asked: pa.Table) -> pa.Table:
     """Counts in both sides of each block's keys, in their order; and a row without block that holds the part's sums."""
     keys, m, n, places = _merge(asked)
     word = keys & np.uint64(1) == 0
-    sums = [int(x) for x in ((word & (keys != UNKNOWN) & (m + n > 0)).sum(), m[word].sum(), n[word].sum(), n[~word].sum())]
+    sums = [int(x) for x in ((word & (m + n > 0)).sum(), m[word].sum(), n[word].sum())]
     rows = [(None, None, None, None, *sums)]
     for block, part, at in zip(asked.column("block").to_pylist(), asked.column("part").to_pylist(), places):
-        rows.append((block, part, _pack(m[at]), _pack(n[at]), None, None, None, None))
+        rows.append((block, part, _pack(m[at]), _pack(n[at]), None, None, None))
     names = [f.split()[0] for f in _ANSWERS.split(", ")]
     return pa.Table.from_batches([_rows(**{c: [r[k] for r in rows] for k, c in enumerate(names)})])
 
 
-def _score(texts: pa.Table, answers: pa.Table, parts: int, cut, sums: tuple[int, int, int], least: float, schema: pa.Schema) -> pa.Table:
+def _score(texts: pa.Table, answers: pa.Table, parts: int, sums: tuple[int, int, int], schema: pa.Schema) -> pa.Table:
     size, *totals = sums
     out = []
+    told = {p: (m, n) for p, m, n in zip(*(answers.column(c).to_pylist() for c in ("part", "m", "n")))}
     for body in texts.column("body").to_pylist():
-        keys = _keys(body, cut.value if cut else None)
+        keys = _keys(body)
         sides = np.zeros((2, len(keys)))
-        told = {p: (m, n) for p, m, n in zip(*(answers.column(c).to_pylist() for c in ("part", "m", "n")))}
         for p, at in _split(keys, parts):
             for side, packed in zip(sides, told[p]):
                 side[at] = _unpack(packed, np.int64)
-        sides[:, (keys & np.uint64(1) == 1) & (sides[1] < least)] = 0
         for batch in _texts(body):
-            words, owner, pairs, at = _words(batch, cut.value if cut else None)
+            words, owner, pairs, at = _words(batch)
             place, of_pair = np.searchsorted(keys, words), np.searchsorted(keys, pairs)
             n = np.bincount(owner, minlength=batch.num_rows)
+            own_word, own_pair = _own(words, owner), _own(pairs, owner[at])
             losses = []
-            for side, total in zip(sides, totals):
-                p = (side[place] + 1) / (total + size + 1)
-                p[at] = (side[of_pair] + PRIOR * p[at]) / (side[place[at - 1]] + PRIOR)
+            for side, total, c in zip(sides, totals, ("one", "two")):
+                counts = batch.column(c).to_numpy(zero_copy_only=False)[owner]  # whether the text is of this side, and its own counts to be left out
+                word, pair = side[place] - own_word * counts, side[of_pair] - own_pair * counts[at]
+                p = (word + 1) / (total - n[owner] * counts + size + 1)
+                p[at] = (pair + PRIOR * p[at]) / (word[at - 1] + PRIOR)
                 losses.append(np.bincount(owner, -np.log2(p), batch.num_rows) / np.maximum(n, 1))
             empty, (one, two) = n == 0, losses
             values = [batch.column(0), pa.array(n.astype(np.int64)), pa.array(one, mask=empty), pa.array(two, mask=empty), pa.array(np.where(empty, 0.0, two - one))]
@@ -231,30 +218,21 @@ def score(texts: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
     """
     spark = texts.sparkSession
     parts = size // PART_BYTES + 1
-    made = texts.select(id_col, F.col("text").cast("string").alias("text"), "one", "two")
+    made = texts.select(F.col(f"`{id_col}`").alias("id"), F.col("text").cast("string").alias("text"), "one", "two")
     # settled, as a block has to be the same texts when it asks and when it is answered
     blocks = common.settle(made.mapInArrow(_blocks, "block bigint, body binary"), "blocks")
     common.release(spark)
-
-    def asked(cut) -> DataFrame:
-        return blocks.mapInArrow(lambda it: _ask(it, parts, cut), "block bigint, part bigint, keys binary, m binary, n binary")
-
-    cut = None
-    if VOCABULARY is not None:
-        words = common.settle(asked(None).groupBy("part").applyInArrow(_merged, "key bigint, n bigint"), "words")
-        total = words.agg(F.sum("n")).first()[0] or 0
-        kept = words.where(F.col("n") * VOCABULARY >= total).select("key").toArrow()
-        cut = spark.sparkContext.broadcast(np.sort(kept["key"].to_numpy().view(np.uint64)))
-    answers = common.settle(asked(cut).groupBy("part").applyInArrow(_answer, _ANSWERS), "answers")
+    asked = blocks.mapInArrow(lambda it: _ask(it, parts), "block bigint, part bigint, keys binary, m binary, n binary")
+    answers = common.settle(asked.groupBy("part").applyInArrow(_answer, _ANSWERS), "answers")
     common.release(spark)
-    *sums, pairs = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "words_m", "words_n", "pairs_n"))).first()
-    least = pairs / BIGRAMS if BIGRAMS is not None else 0
-    columns = f"`{id_col}` {texts.schema[id_col].dataType.simpleString()}, n_words bigint, target_loss double, background_loss double, score double"
-    schema = made.select(id_col).limit(0).toArrow().schema
-    for name in ("n_words", "target_loss", "background_loss", "score"):
-        schema = schema.append(pa.field(name, pa.int64() if name == "n_words" else pa.float64()))
+    sums = tuple(answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "words_m", "words_n"))).first())
+    fields = [made.schema["id"], T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score"))]
+    schema = made.select("id").limit(0).toArrow().schema
+    for f in fields[1:]:
+        schema = schema.append(pa.field(f.name, pa.int64() if f.name == "n_words" else pa.float64()))
     told = answers.where("block is not null").select("block", "part", "m", "n")
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, parts, cut, sums, least, schema), columns)
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, parts, sums, schema), T.StructType(fields))
+    return scored.withColumnRenamed("id", id_col)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -16,23 +16,41 @@ _settled: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where the session names none."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local session, as in tests, may name none and gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def settle(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back. The files go when the driver ends."""
+    """Writes df as Parquet to the shared folder and reads it back. The files go when they are forgotten or the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     if not _settled:
         atexit.register(_sweep)
     _settled.append((spark, path))
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes the files of settled frames that nothing will read again."""
+    for df in frames:
+        path = getattr(df, "_settled", None)
+        if path is not None:
+            _delete(df.sparkSession, path)
+            _settled[:] = [x for x in _settled if x[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -44,7 +62,6 @@ def release(spark: SparkSession) -> None:
 def _sweep() -> None:
     for spark, path in _settled:
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session has ended already; what is left is in the cluster's own folder
             return

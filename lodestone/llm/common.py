@@ -14,9 +14,9 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.settled import release, settle
+from lodestone.sources.settled import forget, release, settle
 
-__all__ = ["release", "settle"]
+__all__ = ["forget", "release", "settle"]
 
 #: Bytes of text that one step of a Python worker looks at (a single longer text is one step of its own).
 CHUNK_BYTES = 1_000_000

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import hot_join, settle
+from lodestone.llm.common import forget, hot_join, settle
 
 #: Edges that one union-find holds at a time.
 FOREST_EDGES = 500_000
@@ -62,8 +62,10 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = hot_join(both, settle(least, "least"), ["u"], 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = settle(least, "least")
+        large = hot_join(both, least, ["u"], 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = settle(large, "edges")
         low = settle(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
         small = hot_join(large, low, ["u"], 2 * mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        stars = settle(small.distinct(), "edges")
+        last, stars = stars, settle(small.distinct(), "edges")
+        forget(last, least, large, low)

@@ -1,10 +1,10 @@
 """Cross-entropy difference: a target and a background bigram model over one vocabulary.
 
-Words are 64-bit hashes (A-Z lower-cased) less a bit that tells words from bigrams. Every
+Words are 56-bit hashes (A-Z lower-cased) with a bit that tells words from bigrams. Every
 word and bigram of either side counts, so the models grow with the texts; they are never
 with one process. Their keys are dealt to parts whose number grows with the texts:
 
-1. Texts are put into blocks. A block sends its distinct words and bigrams to their parts,
+1. Texts are put into blocks, which learn by id which of their texts are of the target. A block sends its distinct words and bigrams to their parts,
    with what it adds to their counts, as packed sorted keys.
 2. A part adds up the counts of all blocks and answers each block with the sums. A block
    sends a key once, so a key that is in every text weighs no more than any other.
@@ -38,29 +38,28 @@ PRIOR = 50.0
 #: Entries that a block holds before it adds them up.
 HELD = 400_000
 #: Bytes of text for each part of the models, and in a block.
-PART_BYTES, BLOCK_BYTES = 8_000_000, 6_000_000
+PART_BYTES, BLOCK_BYTES = 8_000_000, 8_000_000
+#: Bits of a key.
+KEY = np.uint64((1 << 56) - 1)
 
 
 def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the words (even) and their texts; keys of the bigrams within texts (odd) and the places of their second words."""
     data, offsets = common.text_bytes(batch.column("text"))
     starts, ends, owner = common.find_words(data, offsets, common.ALNUM)
-    words = common.word_hashes(data, starts, ends) & ~np.uint64(1)
+    words = common.word_hashes(data, starts, ends) & KEY & ~np.uint64(1)
     at = np.flatnonzero(owner[1:] == owner[:-1]) + 1
     with np.errstate(over="ignore"):
-        pairs = common.mix(common.mix(words[at - 1]) + words[at]) | np.uint64(1)
+        pairs = common.mix(common.mix(words[at - 1]) + words[at]) & KEY | np.uint64(1)
     return words, owner, pairs, at
 
 
 def _own(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """How often each key is in its own text."""
-    order = np.lexsort([keys, owner])
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (owner[order][1:] != owner[order][:-1])
-    run = np.cumsum(fresh) - 1
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.bincount(run)[run] if len(run) else 0
-    return out
+    with np.errstate(over="ignore"):
+        both = common.mix(keys + common.mix(owner.astype(np.uint64)))
+    _, which, times = np.unique(both, return_inverse=True, return_counts=True)
+    return times[which.ravel()]
 
 
 def _split(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -123,16 +122,34 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def _texts(body: bytes) -> Iterator[pa.RecordBatch]:
-    yield from common.chunks(iter(pa.ipc.open_stream(body)))
-
-
-def _counted(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
+            at = 0
+            for held in pa.ipc.open_stream(body):
+                n = held.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), pa.array(np.arange(at, at + n)), held.column(0)], names=["block", "place", "id"])
+                at += n
+
+
+def _texts(body: bytes, places: list[int] | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """A block's texts, and which of them are of the target (also those at places) and of the background."""
+    at = 0
+    told = np.array(places or [], np.int64)
+    for batch in common.chunks(iter(pa.ipc.open_stream(body))):
+        one, two = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("one", "two"))
+        here = told[(told >= at) & (told < at + batch.num_rows)] - at
+        one[here] = 1
+        yield batch, one, two
+        at += batch.num_rows
+
+
+def _counted(body: bytes, places: list[int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sorted distinct keys of a block, and their counts in its texts of either side."""
     held: list[tuple[np.ndarray, ...]] = []
-    for batch in _texts(body):
+    for batch, *flags in _texts(body, places):
         words, owner, pairs, at = _words(batch)
-        sides = [np.concatenate([own, own[at]]) for own in (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[owner] for c in ("one", "two"))]
+        sides = [np.concatenate([own, own[at]]) for own in (flag[owner] for flag in flags)]
         held.append(_added([(np.concatenate([words, pairs]), *sides)]))
         if sum(len(x[0]) for x in held) > HELD:
             held = [_added(held)]
@@ -140,18 +157,15 @@ def _counted(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _keys(body: bytes) -> np.ndarray:
-    out = np.empty(0, np.uint64)
-    for batch in _texts(body):
-        words, _, pairs, _ = _words(batch)
-        out = np.union1d(out, np.concatenate([words, pairs]))
-    return out
+    held = [np.unique(np.concatenate([words, pairs])) for words, _, pairs, _ in (_words(batch) for batch, _, _ in _texts(body, None))]
+    return np.unique(np.concatenate(held))
 
 
 def _ask(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """The keys of each block by part, with what the block adds to their counts."""
     for batch in batches:
-        for block, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
-            keys, m, n = _counted(body)
+        for block, body, places in zip(*(batch.column(c).to_pylist() for c in ("block", "body", "places"))):
+            keys, m, n = _counted(body, places)
             rows = [(block, p, _pack_keys(keys[at]), _pack(m[at]), _pack(n[at])) for p, at in _split(keys, parts)]
             yield _rows(**{c: [r[k] for r in rows] for k, c in enumerate(("block", "part", "keys", "m", "n"))})
 
@@ -183,20 +197,20 @@ def _score(texts: pa.Table, answers: pa.Table, parts: int, sums: tuple[int, int,
     size, *totals = sums
     out = []
     told = {p: (m, n) for p, m, n in zip(*(answers.column(c).to_pylist() for c in ("part", "m", "n")))}
-    for body in texts.column("body").to_pylist():
+    for body, places in zip(texts.column("body").to_pylist(), texts.column("places").to_pylist()):
         keys = _keys(body)
         sides = np.zeros((2, len(keys)))
         for p, at in _split(keys, parts):
             for side, packed in zip(sides, told[p]):
                 side[at] = _unpack(packed, np.int64)
-        for batch in _texts(body):
+        for batch, *flags in _texts(body, places):
             words, owner, pairs, at = _words(batch)
             place, of_pair = np.searchsorted(keys, words), np.searchsorted(keys, pairs)
             n = np.bincount(owner, minlength=batch.num_rows)
             own_word, own_pair = _own(words, owner), _own(pairs, owner[at])
             losses = []
-            for side, total, c in zip(sides, totals, ("one", "two")):
-                counts = batch.column(c).to_numpy(zero_copy_only=False)[owner]  # whether the text is of this side, and its own counts to be left out
+            for side, total, flag in zip(sides, totals, flags):
+                counts = flag[owner]  # whether the text is of this side, and its own counts to be left out
                 word, pair = side[place] - own_word * counts, side[of_pair] - own_pair * counts[at]
                 p = (word + 1) / (total - n[owner] * counts + size + 1)
                 p[at] = (pair + PRIOR * p[at]) / (word[at - 1] + PRIOR)
@@ -211,16 +225,27 @@ def text_size(texts: DataFrame) -> int:
     return texts.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint"))).first()[0] or 0
 
 
-def score(texts: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
+def score(texts: DataFrame, size: int, target: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """id_col, n_words, target_loss and background_loss in bits a word, score.
 
-    Columns one and two, booleans, tell which texts are of the target and of the background; size is the bytes of all.
+    Columns one and two, booleans, tell which texts are of the target and of the background; the ids in target's
+    only column are of the target as well. size is the bytes of all texts.
     """
     spark = texts.sparkSession
     parts = size // PART_BYTES + 1
     made = texts.select(F.col(f"`{id_col}`").alias("id"), F.col("text").cast("string").alias("text"), "one", "two")
     # settled, as a block has to be the same texts when it asks and when it is answered
     blocks = common.settle(made.mapInArrow(_blocks, "block bigint, body binary"), "blocks")
+    if target is None:
+        blocks = blocks.withColumn("places", F.lit(None).cast("array<bigint>"))
+    else:
+        # ids are joined and not texts; blocks are few, and labels grow with the documents, so the join is planned alike at every size
+        ids = blocks.mapInArrow(_ids, T.StructType([T.StructField("block", T.LongType()), T.StructField("place", T.LongType()), made.schema["id"]]))
+        known = target.toDF("id").where("id is not null").distinct()
+        told = ids.hint("merge").join(known.hint("merge"), "id", "left_semi").groupBy("block").agg(F.collect_list("place").alias("places"))
+        plain, told = blocks, common.settle(told, "targets")
+        blocks = common.settle(plain.hint("merge").join(told.hint("merge"), "block", "left"), "blocks")
+        common.forget(plain, told)
     common.release(spark)
     asked = blocks.mapInArrow(lambda it: _ask(it, parts), "block bigint, part bigint, keys binary, m binary, n binary")
     answers = common.settle(asked.groupBy("part").applyInArrow(_answer, _ANSWERS), "answers")
@@ -237,8 +262,5 @@ def score(texts: DataFrame, size: int, id_col: str = "doc_id") -> DataFrame:
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document, against the documents labelled as of good quality."""
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    # labels grow with the documents, so the join is planned alike at every size
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).hint("merge").join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
-    texts = texts.select("doc_id", "text", F.col("good_id").isNotNull().alias("one"), F.lit(True).alias("two"))
-    return score(texts, text_size(docs))
+    texts = docs.select("doc_id", "text", F.lit(False).alias("one"), F.lit(True).alias("two"))
+    return score(texts, text_size(docs), labels.where("quality = 1").select("doc_id"))

@@ -11,30 +11,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.sources.settled import settle
+from lodestone.sources.settled import forget, settle
 
 
-def closure(edges: DataFrame, seeds: DataFrame, keys: Sequence[str] = (), max_depth: int | None = None) -> DataFrame:
-    """(keys..., node, depth): what each seed reaches over edges (keys..., src, dst), seeds at depth 0.
+def closure(edges: DataFrame, seeds: DataFrame, keys: Sequence[str] = (), max_depth: int | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    """(keys..., carried..., node, depth): what each seed reaches over edges (keys..., src, dst), seeds at depth 0.
 
-    keys are shared by seeds and edges: one closure for each of their values. Cycles end
-    because a node is kept at its least depth only; max_depth bounds the levels.
+    keys are shared by seeds and edges: one closure for each of their values. carried are
+    columns of the seeds alone, such as a start: one closure for each of their values too,
+    over the same edges, which are never repeated for it. Cycles end because a node is kept
+    at its least depth only; max_depth bounds the levels.
     """
-    keys = list(keys)
+    keys, own = list(keys), [*keys, *carried]
     edges = settle(edges.select(*keys, "src", "dst").distinct(), "edges")
-    frontier = settle(seeds.select(*keys, F.col("node")).distinct().withColumn("depth", F.lit(0)), "level")
+    frontier = settle(seeds.select(*own, F.col("node")).distinct().withColumn("depth", F.lit(0)), "level")
     levels = [frontier]
     depth = 0
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
-        seen = levels[0]
-        for level in levels[1:]:
-            seen = seen.union(level)
-        steps = frontier.select(*keys, F.col("node").alias("src")).join(edges, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        frontier = settle(steps.join(seen, [*keys, "node"], "left_anti").withColumn("depth", F.lit(depth)), "level")
+        steps = frontier.select(*own, F.col("node").alias("src")).join(edges, [*keys, "src"]).select(*own, F.col("dst").alias("node")).distinct()
+        frontier = settle(steps.join(_all(levels), [*own, "node"], "left_anti").withColumn("depth", F.lit(depth)), "level")
         levels.append(frontier)
         if len(levels) > 8:  # a long chain of levels is read as one
-            levels = [settle(_all(levels), "levels")]
+            whole = settle(_all(levels), "levels")
+            forget(*levels[:-1])
+            levels = [whole]
+    forget(edges)
     return _all(levels)
 
 
@@ -61,15 +63,28 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return out
 
 
-def reaches_itself(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys..., node): nodes on a cycle, self-loops included. For graphs with small components, such as one program's."""
+def cycles(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., node, component): nodes on a cycle, self-loops included, by strongly connected component, named by its least node.
+
+    What no edge enters or leaves is on no cycle and is taken off until nothing more goes; only
+    what is left, the cycles and what lies between them, is closed over from each node.
+    """
     keys = list(keys)
-    pairs = settle(edges.select(*keys, "src", "dst").distinct(), "pairs")
-    reach = pairs
-    while True:
-        # squaring: after k rounds all pairs up to 2^k steps apart
-        twice = reach.alias("a").join(reach.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.dst") == F.col("b.src")])
-        more = settle(reach.union(twice.select(*[F.col(f"a.{k}") for k in keys], F.col("a.src"), F.col("b.dst"))).distinct(), "pairs")
-        if more.count() == reach.count():
-            return reach.where("src = dst").select(*keys, F.col("src").alias("node"))
-        reach = more
+    core = settle(edges.select(*keys, "src", "dst").distinct(), "core")
+    n, before = core.count(), None
+    while n and n != before:
+        entered, left = core.select(*keys, F.col("dst").alias("src")).distinct(), core.select(*keys, F.col("src").alias("dst")).distinct()
+        last, core = core, settle(core.join(entered, [*keys, "src"], "left_semi").join(left, [*keys, "dst"], "left_semi").select(*keys, "src", "dst"), "core")
+        before, n = n, core.count()
+        forget(last)
+    seeds = core.select(*keys, F.col("src").alias("start"), F.col("src").alias("node"))
+    reach = closure(core, seeds, keys, carried=["start"]).where("depth > 0").select(*keys, "start", "node")
+    there = reach.select(*keys, F.col("node").alias("start"), F.col("start").alias("node"))
+    mutual = reach.join(there, [*keys, "start", "node"])
+    alone = core.where("src = dst").select(*keys, F.col("src").alias("start"), F.col("src").alias("node"))
+    return mutual.union(alone).groupBy(*keys, F.col("start").alias("node")).agg(F.least(F.min("node"), F.first("start")).alias("component"))
+
+
+def reaches_itself(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., node): nodes on a cycle, self-loops included."""
+    return cycles(edges, keys).select(*keys, "node")

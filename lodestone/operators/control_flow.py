@@ -74,10 +74,9 @@ def metrics(statements: DataFrame) -> DataFrame:
 def writes_closure(members: DataFrame, writes: DataFrame) -> DataFrame:
     """(program, ord, name): names that a paragraph writes, itself or through what it performs, to the fix-point."""
     steps = members.select("program", F.col("ord").alias("src"), F.col("member").alias("dst"))
-    # reach of every paragraph: a closure for each (program, start)
+    # what a paragraph reaches matters only where something is written
     starts = writes.select("program", "ord").union(steps.select("program", F.col("src").alias("ord"))).distinct()
-    spread = starts.withColumnRenamed("ord", "start").join(steps, "program")
-    reach = closure(spread, starts.select("program", F.col("ord").alias("start"), F.col("ord").alias("node")), ["program", "start"])
+    reach = closure(steps, starts.select("program", F.col("ord").alias("start"), F.col("ord").alias("node")), ["program"], carried=["start"])
     return reach.join(writes.select("program", F.col("ord").alias("node"), "name").distinct(), ["program", "node"]).select("program", F.col("start").alias("ord"), "name").distinct()
 
 

@@ -55,7 +55,7 @@ def data(logic: Logic) -> DataFrame:
     p = logic.programs
     sizes = p.records.groupBy("id").agg(F.max("size").alias("whole")).withColumnRenamed("id", "record")
     return _all([
-        _told(p.fields.join(sizes, "record").where("whole is not null and size is not null and offset is not null and offset + size > whole"), "data", "id", "field ends beyond its record"),
+        _told(p.fields.join(sizes, "record").where("whole is not null and size is not null and offset is not null and offset + size * coalesce(occurs, 1) > whole"), "data", "id", "field ends beyond its record"),
         _told(checks.missing_keys(p.fields, "record", p.records, "id"), "data", "id", "field has no record"),
         _told(checks.missing_keys(logic.flows, "program", logic.inventory.programs, "id"), "data", F.concat_ws(" ", "program", "entity"), "flow has no program"),
     ])

@@ -288,13 +288,14 @@ class Inventory:
 
     @cached_property
     def issues(self) -> DataFrame:
-        """severity, code, subject, path, line of everything found."""
+        """severity, code, subject, path, line and message of everything found."""
         columns = ("severity", "code", "subject", "path", "line")
 
-        def rows(df: DataFrame, severity, code, subject, path="path", line="line") -> DataFrame:
+        def rows(df: DataFrame, severity, code, subject, path="path", line="line", count=None) -> DataFrame:
             lit = lambda x: F.lit(x) if isinstance(x, str) or x is None else x
             values = (lit(severity), lit(code), subject if subject is None else F.col(subject) if isinstance(subject, str) else subject, F.col(path) if path else None, F.col(line) if line else None)
-            return df.select(*[(F.lit(None) if v is None else v).cast("int" if c == "line" else "string").alias(c) for c, v in zip(columns, values)])
+            told = [(F.lit(None) if v is None else v).cast("int" if c == "line" else "string").alias(c) for c, v in zip(columns, values)]
+            return df.select(*told, gaps.message(told[1], F.coalesce(told[2], told[3]), count).alias("message"))
 
         refs, progs, csd = self.references, self.classified, self.csd.where("type = 'PROGRAM'")
         has_jobs = not self.facts.where("fact = 'job'").isEmpty()
@@ -303,7 +304,7 @@ class Inventory:
         subjects = notes.groupBy("path", "code").agg(F.min("subject").alias("subject"))
         found = [
             rows(members.empty_file_issues(self.files), "warning", "empty_file", None, line=None),
-            rows(gaps.notes_to_issues(notes).join(subjects, ["path", "code"]), F.col("severity"), F.col("code"), "subject"),
+            rows(gaps.notes_to_issues(notes).join(subjects, ["path", "code"]), F.col("severity"), F.col("code"), "subject", count=F.col("count")),
             rows(refs.where("issue is not null"), F.col("issue.severity"), F.col("issue.code"), "from_id"),
             rows(self.programs.where("scanned and program_id is null"), "warning", "program_without_program_id", "id", line=None),
             rows(self.programs.where("program_id <> member"), "info", "program_id_differs_from_member", "id"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodestone.operators import gaps, rules
 from lodestone.plans import golden
 from lodestone.plans.estate import ITEMS, with_estate
+from lodestone.sources.readers import vocabulary
 
 _BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _DOCS = "docs AS (SELECT 'doc/' || doc_id || '.' || coalesce(lang, '') AS path, coalesce(text, '') AS text, doc_id FROM documents)"
@@ -73,13 +74,19 @@ _ISSUES = """
       WHEN type = 'CICS_RETURN_TRANSID' AND resolution = 'unresolved' THEN 'missing_transaction' END AS code
   FROM resolved
 ), leveled AS (SELECT *, CASE WHEN code IN ('dynamic_call', 'system_program', 'undefined_table') THEN 'info' ELSE 'warning' END AS level FROM issues WHERE code IS NOT NULL)"""
-_POLICY = "(VALUES " + ", ".join(f"('{c}', '{s}', '{k}')" for (s, k), codes in gaps.POLICY.items() for c in codes.split()) + ") p(code, severity, category)"
+def _words(words) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(words))
+
+
+_POLICY = "(VALUES " + ", ".join(f"('{c}', '{s}', '{k}', '{gaps.ACTIONS.get(c, gaps.DEFAULT_ACTION).replace(chr(39), chr(39) * 2)}')" for (s, k), codes in gaps.POLICY.items() for c in codes.split()) + ") p(code, severity, category, action)"
 _GAPS = f"""{_ISSUES}
 , gaps AS (
   SELECT 'gap:' || i.code || ':' || regexp_replace(subject, '^[^:]*:', '') AS gap_id, coalesce(any_value(p.severity), CASE any_value(level) WHEN 'warning' THEN 'medium' ELSE 'low' END) AS severity,
-    coalesce(any_value(p.category), 'Other') AS category, i.code, subject, count(*) AS count, count(DISTINCT (path, line)) AS n_locations
+    coalesce(any_value(p.category), 'Other') AS category, i.code, subject, CASE count(*) WHEN 1 THEN min(message) ELSE regexp_replace(subject, '^[^:]*:', '') || ': ' || count(*) || ' x ' || replace(i.code, '_', ' ') END AS title,
+    count(*) AS count, count(DISTINCT (path, line)) AS n_locations, array_to_string(list(message ORDER BY i.ord, message, path, line)[:20], '; ') AS details, coalesce(any_value(p.action), 'Review the finding.') AS action
   FROM leveled i LEFT JOIN {_POLICY} ON p.code = i.code WHERE i.code NOT IN ('system_program', 'dynamic_call', 'undefined_table') GROUP BY i.code, subject
-)"""
+), spots AS (SELECT code, subject, path, line, min(ord) AS o FROM leveled GROUP BY code, subject, path, line
+), placed AS (SELECT code, subject, array_to_string(list(path || ':' || line ORDER BY o, path, line)[:50], '; ') AS locations FROM spots GROUP BY code, subject)"""
 _ORDER = "list_position(['high', 'medium', 'low'], severity), list_position(['" + "', '".join(gaps.CATEGORIES) + "'], category), count DESC, subject, code"
 _REL = "CASE type WHEN 'JCL_EXEC' THEN 'RUNS' WHEN 'CSD_TRANSACTION' THEN 'STARTS' WHEN 'STATIC_CALL' THEN 'CALLS' WHEN 'COPY' THEN 'COPIES' END"
 _GRAPH = f"""
@@ -238,7 +245,7 @@ CASE WHEN k IN (0, 4) THEN p_size END AS length, CASE k WHEN 1 THEN p_size WHEN
 g AS (SELECT category, condition, count(*) AS members, count(DISTINCT program) AS programs FROM r GROUP BY category, condition HAVING count(*) > 1) SELECT 'rulegroup:' || row_number() OVER (ORDER BY members DESC, category, condition) AS id, * FROM g""",
     "rule_ids": f"""WITH {ITEMS} SELECT 'rule:' || l_suppkey || ':' || l_linenumber || CASE WHEN k > 1 THEN '.' || k ELSE '' END AS rule_id, ord FROM (SELECT *, l_orderkey * 100 + pos AS ord, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey * 100 + pos) AS k FROM items)""",
     "rule_classification": f"WITH {_BRANCHES}",
-    "gap_register": with_estate(f"{_GAPS} SELECT * FROM gaps"),
+    "gap_register": with_estate(f"{_GAPS} SELECT gaps.*, locations FROM gaps JOIN placed USING (code, subject)"),
     "gap_ranking": with_estate(f"{_GAPS} SELECT row_number() OVER (ORDER BY {_ORDER}) AS rank, gap_id, severity FROM gaps ORDER BY {_ORDER} LIMIT 20"),
     "note_to_issue": """WITH n AS (SELECT 'cbl/' || l_orderkey AS path, (['nonstandard_comment', 'unterminated_literal', 'literal_truncated_at_column_72', 'copy_without_period'])[l_partkey % 4 + 1] AS code, l_suppkey % 5 + 1 AS line FROM lineitem),
 k AS (SELECT DISTINCT path, code, line FROM n a WHERE NOT (code = 'unterminated_literal' AND EXISTS (SELECT 1 FROM n b WHERE b.path = a.path AND b.line = a.line AND b.code = 'literal_truncated_at_column_72')))
@@ -269,7 +276,9 @@ ORACLES |= {
     "golden_files": golden.values(golden.FILES, "path, kind, line_ending, lines"),
     "golden_references": golden.values(golden.REFERENCES, "ref_id, type, from_id, to_id, resolution, path, line"),
     "golden_programs": golden.values(golden.PROGRAMS, "id, kind, called_by, executed_by"),
-    "golden_issues": golden.values(golden.ISSUES, "severity, code, subject, path, line"),
+    "golden_issues": f"SELECT *, replace(code, '_', ' ') || ': ' || split_part(subject, ':', 2) AS message FROM ({golden.values(golden.ISSUES, 'severity, code, subject, path, line')})",
+    "reserved_words": f"""SELECT word, CASE WHEN word IN ({_words(vocabulary.STARTING)}) THEN 'verb' WHEN word LIKE 'END-%' AND word NOT IN ('END-EXEC', 'END-OF-PAGE') THEN 'scope end'
+WHEN word IN ({_words(vocabulary.FIGURATIVE)}) THEN 'figurative' WHEN word IN ({_words(vocabulary.USAGES)}) THEN 'usage' ELSE 'clause' END AS kind, false AS name FROM (SELECT unnest([{_words(vocabulary.RESERVED)}]) AS word)""",
     "golden_scope": golden.values(golden.SCOPE, "node, depth"),
     "golden_layout": golden.values(golden.LAYOUT, 'record, qualified_name, "offset", size, category'),
     "golden_paragraphs": golden.values(golden.PARAGRAPHS, "name, reachable, complexity"),

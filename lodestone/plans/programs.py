@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import checks, control_flow, edges
+from lodestone.operators import checks, control_flow, edges, gaps
 from lodestone.operators.closure import reaches_itself
 from lodestone.plans.inventory import Inventory
 from lodestone.sources.settled import settle
@@ -281,7 +281,7 @@ class Programs:
 
     @cached_property
     def issues(self) -> DataFrame:
-        """severity, code, subject, path, line of what parsing found."""
+        """severity, code, subject, path, line and message of what parsing found."""
         info = ("empty_record", "unreachable_statement", "dead_paragraph")
         problems = self.table("problem").select("code", F.col("of").alias("subject"), F.col("file").alias("path"), "line").distinct()
         names = self.paragraphs.select("program", "ord", "name", "file", "line")
@@ -304,4 +304,4 @@ class Programs:
         for more in (sql, copies, undefined, backwards, altered, dead, loops, twice, unreachable, unknown, functions, failed):
             out = out.union(more)
         severity = F.when(F.col("code") == "parse_failed", "error").when(F.col("code").isin(*info), "info").otherwise("warning")
-        return settle(out.select(severity.alias("severity"), "code", "subject", "path", "line"), "issues")
+        return settle(out.select(severity.alias("severity"), "code", "subject", "path", "line", gaps.message(F.col("code"), F.coalesce("subject", "path")).alias("message")), "issues")

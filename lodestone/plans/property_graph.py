@@ -35,9 +35,10 @@ class PropertyGraph:
     @cached_property
     def gaps(self) -> DataFrame:
         found = self.inventory.issues.union(self.programs.issues)
-        loops = self.logic.loops.where("termination = 'potential_infinite'").select(F.lit("warning"), F.lit("potential_infinite_loop"), "of", "file", "line")
-        lengths = self.logic.length_mismatches.select(F.lit("warning"), F.lit("record_length_mismatch"), "program", F.lit(None).cast("string"), F.lit(None).cast("int"))
-        issues = settle(found.union(loops).union(lengths).withColumn("message", F.replace("code", F.lit("_"), F.lit(" "))).withColumn("ord", F.coalesce("line", F.lit(0))), "issues")
+        loops = self.logic.loops.where("termination = 'potential_infinite'").select(F.lit("warning"), F.lit("potential_infinite_loop").alias("code"), F.col("of").alias("subject"), "file", "line")
+        lengths = self.logic.length_mismatches.select(F.lit("warning"), F.lit("record_length_mismatch").alias("code"), F.col("program").alias("subject"), F.lit(None).cast("string"), F.lit(None).cast("int"))
+        more = loops.union(lengths)
+        issues = settle(found.union(more.withColumn("message", gaps.message(F.col("code"), F.col("subject")))).withColumn("ord", F.coalesce("line", F.lit(0))), "issues")
         dead = self.logic.rules.where("business and not reachable").select(F.col("of").alias("program"), F.col("file").alias("path"), "line", F.col("line").alias("ord"))
         return settle(gaps.register(issues, dead), "gaps")
 
@@ -70,7 +71,7 @@ class PropertyGraph:
             self._nodes(fields.where("level <> 1"), "Field", "id", "name", qualified_name=c("qualified_name"), category=c("category"), picture=c("picture"), usage=c("usage"), size=c("size"), offset=c("offset")),
             self._nodes(conditions, "Condition", "node", "name", **{"values": F.array_join("values", ", ")}),
             self._nodes(rules, "Rule", "rule_id", "condition", category=c("category"), significance=c("significance"), business=c("business"), reachable=c("reachable"), path=c("file"), line=c("line")),
-            self._nodes(self.gaps, "Gap", "gap_id", "code", severity=c("severity"), category=c("category"), title=F.concat_ws(" x ", "count", "code")),
+            self._nodes(self.gaps, "Gap", "gap_id", "code", severity=c("severity"), category=c("category"), title=c("title")),
         ]
         nodes = parts[0]
         for p in parts[1:]:

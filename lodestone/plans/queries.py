@@ -15,6 +15,7 @@ from lodestone.plans.inventory import Inventory
 from lodestone.plans.logic import Logic
 from lodestone.plans.programs import Programs
 from lodestone.sources import members, settled
+from lodestone.sources.readers import vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -454,7 +455,10 @@ def rule_classification(spark, sf_dir):
 def gap_register(spark, sf_dir):
     _, refs = _resolved(spark, sf_dir)
     issues = refs.where("issue is not null").select(F.col("issue.severity").alias("severity"), F.col("issue.code").alias("code"), F.concat_ws(" ", "type", "target").alias("message"), F.col("from_id").alias("subject"), "path", "line", "ord")
-    return gaps.register(issues).select("gap_id", "severity", "category", "code", "subject", "count", "n_locations")
+    told = lambda c, f: F.array_join(F.transform(c, f), "; ")
+    return gaps.register(issues).select(
+        "gap_id", "severity", "category", "code", "subject", "title", "count", "n_locations", told("details", lambda x: x).alias("details"), told("locations", lambda x: F.concat_ws(":", x["path"], x["line"])).alias("locations"), "action"
+    )
 
 
 @query
@@ -609,6 +613,14 @@ def golden_issues(spark, sf_dir):
     return _golden(spark).issues
 
 
+@query
+def reserved_words(spark, sf_dir):
+    """The vocabulary as rows."""
+    kinds = (("verb", vocabulary.STARTING), ("scope end", vocabulary.ENDING), ("figurative", vocabulary.FIGURATIVE), ("usage", vocabulary.USAGES))
+    rows = [(w, next((k for k, words in kinds if w in words), "clause"), vocabulary.is_name(w)) for w in vocabulary.RESERVED]
+    return spark.createDataFrame(rows, "word string, kind string, name boolean")
+
+
 @query
 def golden_scope(spark, sf_dir):
     return _golden(spark).scope(["PAY1"])

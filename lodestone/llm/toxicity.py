@@ -28,6 +28,8 @@ TRAINING_DOCUMENTS = 8000
 SPACE = 1 << 18
 PREFIXES = (4, 5, 6)
 ROUNDS = 120
+#: Features that training adds up at a time.
+STEP = 500_000
 #: What every weight costs, in log-likelihood a document.
 SHRINK = 2e-5
 #: The folds by crc32 of the id; this one is held out.
@@ -119,24 +121,34 @@ def _bags(batches: Iterator[pa.RecordBatch], useful) -> Iterator[pa.RecordBatch]
 
 
 def fit(features: np.ndarray, sentence: np.ndarray, text: np.ndarray, plain: np.ndarray, labels: np.ndarray) -> Model:
-    """Adam on the noisy-or's log-likelihood: features and their sentences, the sentences' documents, and each document's sentences without features.
+    """Adam on the noisy-or's log-likelihood: features and their sentences in order, the sentences' documents, and each document's sentences without features.
 
     Weights are not negative: a sentence offends by what it holds, and ordinary words around that don't excuse it.
+    Sums go over STEP features at a time, so that little memory is needed beside the features.
     """
-    used, column = np.unique(features, return_inverse=True)
-    column = column.ravel()
+    there = np.zeros(SPACE, bool)
+    there[features] = True
+    used = np.flatnonzero(there)
+    column_of = (np.cumsum(there) - 1).astype(np.int32)
+    steps = [slice(k, k + STEP) for k in range(0, len(features), STEP)]
     w = np.zeros(len(used) + 1)
     w[-1] = np.log(0.01)
     m, v = np.zeros_like(w), np.zeros_like(w)
     squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, ROUNDS + 1):
-        p, p0 = squash(np.bincount(sentence, w[column], len(text)) + w[-1]), squash(w[-1])
+        z = np.full(len(text), w[-1])
+        for s in steps:
+            own = sentence[s]
+            z[own[0] : own[-1] + 1] += np.bincount(own - own[0], w[column_of[features[s]]])
+        p, p0 = squash(z), squash(w[-1])
         none = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), len(labels)) + plain * np.log1p(-p0)
         some = np.maximum(-np.expm1(none), 1e-9)
         of_document = np.where(labels > 0, -np.exp(none) / some, 1.0) / len(labels)
         push = of_document[text] * p
-        grad = np.append(np.bincount(column, push[sentence], len(used)), push.sum() + (of_document * plain).sum() * p0)
-        grad[:-1] += SHRINK
+        grad = np.full(len(w), SHRINK)
+        grad[-1] = push.sum() + (of_document * plain).sum() * p0
+        for s in steps:
+            grad[:-1] += np.bincount(column_of[features[s]], push[sentence[s]], len(used))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         np.maximum(w[:-1], 0, out=w[:-1])
@@ -172,10 +184,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model
     shared = spark.sparkContext.broadcast(useful["feature"].to_numpy())
     kind = chosen.schema["id"].dataType.simpleString()
     bags = chosen.mapInArrow(lambda it: _bags(it, shared), f"id {kind}, label int, plain bigint, features binary, sizes binary").toArrow().sort_by("id")
-    join = lambda c: np.frombuffer(b"".join(bags[c].to_pylist()), np.int32)
-    sizes = join("sizes")
-    text = np.repeat(np.arange(len(bags)), [len(x) // 4 for x in bags["sizes"].to_pylist()])
-    return fit(join("features"), np.repeat(np.arange(len(sizes)), sizes), text, bags["plain"].to_numpy().astype(np.float64), bags["label"].to_numpy().astype(np.float64))
+    features, sizes = (np.frombuffer(b"".join(x.as_buffer() for x in bags[c]), np.int32) for c in ("features", "sizes"))
+    of_text = np.array([len(x.as_buffer()) // 4 for x in bags["sizes"]])
+    plain, label = (bags[c].to_numpy().astype(np.float64) for c in ("plain", "label"))
+    del bags
+    sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    return fit(features, sentence, np.repeat(np.arange(len(label), dtype=np.int32), of_text), plain, label)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

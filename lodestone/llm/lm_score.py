@@ -62,22 +62,24 @@ def _own(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return times[which.ravel()]
 
 
-def _split(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of the keys of each part, in the keys' order."""
-    part = ((keys >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]):
-        yield int(part[order[a]]), order[a:b]
+def _split(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
+    """The run of sorted keys of each part: parts are equal ranges of the keys' high bits."""
+    part = ((keys >> np.uint64(25)) * np.uint64(parts) >> np.uint64(31)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(keys)]):
+        yield int(part[a]), slice(a, b)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """64-bit numbers with like bytes together, for the shuffle's compression."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers, like bytes together and compressed, so that the workers' JVM holds them compressed too."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], 8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).reshape(-1).view(kind)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:

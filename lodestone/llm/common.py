@@ -14,7 +14,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.settled import forget, release, settle
+from lodestone.sources import settled
+from lodestone.sources.settled import forget, release
 
 __all__ = ["forget", "release", "settle"]
 
@@ -28,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settle(df: DataFrame, what: str) -> DataFrame:
+    """settled.settle, after which the driver keeps no memory that the step has freed: the operators take many steps."""
+    out = settled.settle(df, what)
+    settled.trim(df.sparkSession)
+    return out
+
+
 def hot(counted: DataFrame, total: int) -> DataFrame:
     """The keys of counted, each with its n rows of total, that hold too many for one task: 10,000 at most, so they can be broadcast."""
     return F.broadcast(counted.where(F.col("n") > max(100, total // 10_000)))

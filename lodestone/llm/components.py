@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import forget, hot_join, settle
+from lodestone.llm.common import forget, hot_join, release, settle
 
 #: Edges that one union-find holds at a time.
 FOREST_EDGES = 500_000
@@ -76,3 +76,4 @@ def components(edges: DataFrame) -> DataFrame:
         small = hot_join(large, low, ["u"], 2 * total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         last, stars = stars, settle(small.distinct(), "edges")
         forget(last, least, large, low)
+        release(edges.sparkSession)

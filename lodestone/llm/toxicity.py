@@ -189,7 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> Model
     plain, label = (bags[c].to_numpy().astype(np.float64) for c in ("plain", "label"))
     del bags
     sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    return fit(features, sentence, np.repeat(np.arange(len(label), dtype=np.int32), of_text), plain, label)
+    model = fit(features, sentence, np.repeat(np.arange(len(label), dtype=np.int32), of_text), plain, label)
+    del features, sizes, sentence
+    common.release(spark)
+    return model
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a row group: what a task holds before it writes.
@@ -54,9 +57,32 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files that only settled tables came from: Spark drops them when the driver has forgotten their plans."""
+    """Lets go of shuffle files that only settled tables came from: Spark drops them when the driver has forgotten their plans. Then trims the driver."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> None:
+    """Hands memory that the driver has freed back to the system, of its Python and of its JVM outside the heap.
+
+    glibc keeps freed blocks in an arena for each few threads; compiled plans and fetched results leave hundreds of MB
+    there. Where C library or JVM have no such call, nothing happens.
+    """
+    pa.default_memory_pool().release_unused()
+    if (own := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        own(0)
+    jvm, array, named = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array, spark.sparkContext._jvm.java.lang.Class.forName
+    try:
+        # by reflection, as py4j sees no methods of a class that its module keeps to itself
+        kinds, args = array(jvm.java.lang.Class, 4), array(jvm.Object, 4)
+        for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = named(kind)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = array(jvm.Object, 0), array(jvm.String, 0)
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        pass
 
 
 def _sweep() -> None:

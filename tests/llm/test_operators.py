@@ -1,9 +1,12 @@
 """Each operator against brute force on small tables that hold nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -844,3 +847,28 @@ def test_toxicity_without_labels(toxic_docs, spark):
     wide = docs.withColumn("score", F.lit(7)).withColumn("row", F.lit("x")).withColumn("source-url", F.lit("u"))
     kept = toxicity.reject(wide, toxicity.train(docs, labels))
     assert kept.columns == wide.columns and 600 < kept.count() < 800
+
+
+def test_release_hands_freed_memory_back(spark):
+    """Blocks too small for mappings of their own, with some kept among them, stay with the process until it is told to give them up."""
+    jvm = spark.sparkContext._jvm
+    pids = {"python": os.getpid(), "jvm": jvm.java.lang.ProcessHandle.current().pid()}
+
+    def resident():
+        return {k: int(re.search(r"VmRSS:\s+(\d+)", Path(f"/proc/{p}/status").read_text())[1]) // 1024 for k, p in pids.items()}
+
+    blocks = [bytearray(100_000) for _ in range(1500)]
+    kept, buffers = blocks[::40], jvm.java.util.ArrayDeque()
+    del blocks
+    for k in range(1500):
+        buffer = jvm.java.nio.ByteBuffer.allocateDirect(100_000)
+        (buffers.add if k % 40 else kept.append)(buffer)
+    buffers.clear()
+    del buffer
+    for _ in range(2):  # the JVM frees the buffers after it has found them unused
+        jvm.System.gc()
+        time.sleep(1)
+    before = resident()
+    common.release(spark)
+    after = resident()
+    assert all(before[k] - after[k] > 70 for k in pids), (before, after)
